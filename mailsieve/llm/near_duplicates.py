@@ -3,8 +3,8 @@
 Plan. Records become sets of hashed word n-grams. Records with equal sets are folded into one class, so copies
 cost one row however many there are. Each class orders its n-grams rarest first (document frequency over all
 classes) and publishes only its prefix, the n-grams of which two similar sets must share one. Postings meet on the
-n-gram; the join condition applies the length, positional and suffix filters, and each surviving pair is verified
-once against the full sets. Connected components of the links are the groups.
+n-gram; the join condition applies the length, positional, suffix and bitmap filters, a pair that shares too few
+n-grams of its prefixes is dropped, and each surviving pair is verified once against the full sets. Connected components of the links are the groups.
 
 Skew. A frequent n-gram's posting list is cut into blocks by its document frequency, and every pair of blocks meets
 in a task of its own (``block_pairs``), so no list is gathered in one task and no pair is lost.
@@ -25,6 +25,8 @@ from .common import cut, fan_out, spread, words
 BLOCK = 2_000
 #: Buckets of the suffix histogram; eight counts of one byte each fit a long.
 BUCKETS = 8
+#: Longs of the bitmap over a whole set.
+MAPS = 3
 
 
 def shingles(text: Column, n: int) -> Column:
@@ -66,9 +68,12 @@ def _postings(threshold: float):
             upto = np.cumsum(np.eye(BUCKETS, dtype=np.int64)[grams & (BUCKETS - 1)], axis=0)
             after = upto[starts + sizes - 1][row] - upto
             packed = (np.minimum(after, 255).astype(np.uint64) << shifts).sum(1, dtype=np.uint64).view(np.int64)
+            bit = (grams >> 8) % (64 * MAPS)  # not the bits that chose the bucket
+            one = np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64))
+            maps = {f"m{k}": np.bitwise_or.reduceat(np.where(bit >> 6 == k, one, np.uint64(0)), starts).view(np.int64)[row] for k in range(MAPS)}
             prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
             keep = (pos <= prefix[row]) & (freq > 1)  # what only this class has can meet nothing
-            yield pd.DataFrame({"gram": grams, "df": freq, "cid": batch.cid.to_numpy()[row], "n": sizes[row], "pos": pos, "after": packed})[keep]
+            yield pd.DataFrame({"gram": grams, "df": freq, "cid": batch.cid.to_numpy()[row], "n": sizes[row], "pos": pos, "after": packed, **maps})[keep]
 
     return run
 
@@ -98,15 +103,24 @@ def _suffix_distance(a: Column, b: Column) -> Column:
     return total
 
 
+def _absent(a: Column, b: Column) -> Column:
+    """Members of a's set that b's surely lacks, at least: bits of one bitmap that the other lacks."""
+    total = F.lit(0)
+    for k in range(MAPS):
+        total = total + F.bit_count(a[k].bitwiseAND(F.bitwise_not(b[k])))
+    return total
+
+
 def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b), a < b, of classes that no filter rules out, each once. classes: cid, grams, df, where grams are
     ordered rarest first."""
     spark = classes.sparkSession
-    posted = spread(classes, "cid").mapInPandas(_postings(threshold), "gram long, df long, cid long, n int, pos int, after long")
+    posted = spread(classes, "cid").mapInPandas(_postings(threshold), "gram long, df long, cid long, n int, pos int, after long, " + ", ".join(f"m{k} long" for k in range(MAPS)))
     met = block_pairs(posted, F.col("df"), "gram", "cid").repartition(fan_out(spark), "gram", "meet_a", "meet_b")
     left, right = met.alias("l"), met.alias("r")
     a, b = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     need = _need(threshold, a("n"), b("n"))
+    maps_a, maps_b = ([side(f"m{k}") for k in range(MAPS)] for side in (a, b))
     rest_a, rest_b = a("n") - a("pos"), b("n") - b("pos")
     return (
         left.join(
@@ -122,10 +136,16 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
             # positional filter: at most the smaller position's n-grams before, this one, the shorter rest after
             & (F.least(a("pos"), b("pos")) + F.least(rest_a, rest_b) >= need)
             # suffix filter: overlap after this n-gram is at most (rest_a + rest_b - distance) / 2
-            & (2 * F.least(a("pos"), b("pos")) + rest_a + rest_b - _suffix_distance(a("after"), b("after")) >= 2 * need),
+            & (2 * F.least(a("pos"), b("pos")) + rest_a + rest_b - _suffix_distance(a("after"), b("after")) >= 2 * need)
+            # bitmap filter
+            & (a("n") - _absent(maps_a, maps_b) >= need)
+            & (b("n") - _absent(maps_b, maps_a) >= need),
         )
-        .select(a("cid").alias("a"), b("cid").alias("b"))
-        .distinct()
+        .groupBy(a("cid").alias("a"), b("cid").alias("b"), a("n").alias("na"), b("n").alias("nb"))
+        .agg(F.count("*").alias("shared"))
+        # beyond the n-grams shared by both prefixes, at most what follows one of the prefixes
+        .where(F.col("shared") + F.ceil(threshold * F.greatest("na", "nb") - 1e-9) - 1 >= _need(threshold, F.col("na"), F.col("nb")))
+        .select("a", "b")
     )
 
 

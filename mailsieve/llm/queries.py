@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import one_per_message, table, text_or_empty
 from .near_duplicates import group_pairs, near_duplicates
+from .quoted_history import newly_written
 
 
 def _family(spark: SparkSession, sf_dir: str, family: str, *columns: str) -> DataFrame:
@@ -30,6 +31,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lure_groups(spark, sf_dir)
 
 
+def _new_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return newly_written(_family(spark, sf_dir, "supplier-invoice", "body_text"), "msg_id", "body_text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _new_parts(spark, sf_dir).select("msg_id", F.explode("lines").alias("line_no"))
+
+
+def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _new_parts(spark, sf_dir).select("msg_id", "new_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
