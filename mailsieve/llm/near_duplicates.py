@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fan_out, spread, words
+from .common import cut, fan_out, words
 
 #: Postings of one n-gram that may meet in one task; longer lists are split into blocks of about this size.
 BLOCK = 2_000
@@ -57,23 +57,23 @@ def _postings(threshold: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = batch.grams.map(len).to_numpy(np.int64)
-            if not sizes.sum():
+            if batch.empty:
                 continue
+            total, sizes = batch.n.to_numpy(np.int64), batch.grams.map(len).to_numpy(np.int64)
             grams = np.concatenate(batch.grams.to_numpy()).astype(np.int64)
             freq = np.concatenate(batch.df.to_numpy()).astype(np.int64)
             starts = np.cumsum(sizes) - sizes
             row = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(grams)) - starts[row] + 1
+            pos = np.arange(len(grams)) - starts[row] + 1 + (total - sizes)[row]  # the set's own n-grams come first
             upto = np.cumsum(np.eye(BUCKETS, dtype=np.int64)[grams & (BUCKETS - 1)], axis=0)
             after = upto[starts + sizes - 1][row] - upto
             packed = (np.minimum(after, 255).astype(np.uint64) << shifts).sum(1, dtype=np.uint64).view(np.int64)
             bit = (grams >> 8) % (64 * MAPS)  # not the bits that chose the bucket
             one = np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64))
             maps = {f"m{k}": np.bitwise_or.reduceat(np.where(bit >> 6 == k, one, np.uint64(0)), starts).view(np.int64)[row] for k in range(MAPS)}
-            prefix = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-            keep = (pos <= prefix[row]) & (freq > 1)  # what only this class has can meet nothing
-            yield pd.DataFrame({"gram": grams, "df": freq, "cid": batch.cid.to_numpy()[row], "n": sizes[row], "pos": pos, "after": packed, **maps})[keep]
+            prefix = total - np.ceil(threshold * total - 1e-9).astype(np.int64) + 1
+            keep = pos <= prefix[row]
+            yield pd.DataFrame({"gram": grams, "df": freq, "cid": batch.cid.to_numpy()[row], "n": total[row], "pos": pos, "after": packed, **maps})[keep]
 
     return run
 
@@ -112,10 +112,10 @@ def _absent(a: Column, b: Column) -> Column:
 
 
 def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that no filter rules out, each once. classes: cid, grams, df, where grams are
-    ordered rarest first."""
+    """Pairs (a, b), a < b, of classes that no filter rules out, each once. classes: cid, n (size of its set), and
+    grams and df: those n-grams that another class has too, rarest first, and their document frequencies."""
     spark = classes.sparkSession
-    posted = spread(classes, "cid").mapInPandas(_postings(threshold), "gram long, df long, cid long, n int, pos int, after long, " + ", ".join(f"m{k} long" for k in range(MAPS)))
+    posted = classes.mapInPandas(_postings(threshold), "gram long, df long, cid long, n int, pos int, after long, " + ", ".join(f"m{k} long" for k in range(MAPS)))
     met = block_pairs(posted, F.col("df"), "gram", "cid").repartition(fan_out(spark), "gram", "meet_a", "meet_b")
     left, right = met.alias("l"), met.alias("r")
     a, b = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
@@ -192,13 +192,13 @@ def near_duplicates(df: DataFrame, key: str, text: Column, n: int = 5, threshold
     classes = keyed.groupBy("print").agg(F.min("key").alias("cid"), F.min_by("grams", "key").alias("grams"))
     classes = cut(classes)
 
-    tokens = classes.where(F.size("grams") > 0).select("cid", F.explode("grams").alias("gram"))
-    counts = tokens.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    tokens = classes.select("cid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = tokens.groupBy("gram").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     ordered = (
-        tokens.join(counts, "gram", "left")
-        .groupBy("cid")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "gram"))).alias("x"))
-        .select("cid", F.col("x.gram").alias("grams"), F.col("x.df").alias("df"))
+        tokens.join(counts, "gram")
+        .groupBy("cid", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("x"))
+        .select("cid", "n", F.col("x.gram").alias("grams"), F.col("x.df").alias("df"))
     )
     ids = candidate_pairs(ordered, threshold)
     held = classes.select("cid", "grams")
