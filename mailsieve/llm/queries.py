@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import one_per_message, table, text_or_empty
+from .languages import document_languages
 from .near_duplicates import group_pairs, near_duplicates
 from .quoted_history import newly_written
 
@@ -43,6 +44,22 @@ def p2_new_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _new_parts(spark, sf_dir).select("msg_id", "new_text")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = table(spark, sf_dir, "cases").where("id IS NOT NULL").select("id", "body_text", "lang").dropDuplicates(["id"])
+    news = _family(spark, sf_dir, "newsletter", "body_text", "lang")
+    return cases.select(F.lit("cases").alias("src"), F.col("id").alias("rec_id"), "body_text", "lang").unionByName(
+        news.select(F.lit("messages").alias("src"), F.col("msg_id").cast("string").alias("rec_id"), "body_text", "lang")
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_languages(spark, sf_dir).where("seg_no > 0 AND NOT lang <=> declared").select("src", "rec_id", "seg_no", "lang")
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(_labelled(spark, sf_dir), ["src", "rec_id"], "body_text", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
