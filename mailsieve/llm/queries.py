@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import one_per_message, table, text_or_empty
 from .languages import document_languages
+from .lookalikes import one_form, same_face
 from .near_duplicates import group_pairs, near_duplicates
 from .quoted_history import newly_written
 
@@ -60,6 +61,33 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_languages(_labelled(spark, sf_dir), ["src", "rec_id"], "body_text", "lang")
 
 
+#: The host of an absolute URL: after the scheme and any user part, before port, path, query or fragment.
+HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}(?:[^/\\?#@]*@)?([^/\\?#:：／？＃]+)"
+
+
+def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    senders = one_per_message(table(spark, sf_dir, "messages").select("msg_id", "received_at", "sender_name", "sender_email"), "sender_name", "sender_email")
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("sender_name", "sender_email")])).alias("f")
+    named = senders.select("msg_id", F.lit(-1).alias("link_index"), fields).select("msg_id", "link_index", "f.*")
+    hosts = table(spark, sf_dir, "message_links").select("msg_id", "link_index", F.lit("href").alias("field"), F.regexp_extract("href", HOST, 1).alias("value"))
+    return named.unionByName(hosts.where("msg_id IS NOT NULL AND value <> ''").distinct()).where("value IS NOT NULL")
+
+
+def _known_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "known_senders")
+    sides = {"sender_name": "display_name", "sender_email": "email", "href": "site_host"}
+    return known.select("entry_id", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(v).alias("written")) for k, v in sides.items()])).alias("x")).select("entry_id", "x.*")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_forms(spark, sf_dir).select("msg_id", "field", F.col("link_index").cast("int"), "entry_id").distinct()
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _known_faces(spark, sf_dir)
+    return same_face(one_form(_faces(spark, sf_dir), "value", known.select("written")), known)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
