@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Letter-and-digit runs; applied to lower-cased text.
@@ -52,5 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def some_rows(df: DataFrame, most: int) -> list[Row]:
+    """At most ``most`` rows, chosen by their hash, the same ones however df is partitioned. A first filter by a
+    fraction of the hash range keeps what reaches the driver near that number whatever the number of partitions."""
+    count = df.count()
+    hashed = F.xxhash64(*df.columns)
+    if count > 2 * most:
+        share = int((1 << 30) * 1.5 * most / count) + 64
+        df = df.where(F.pmod(F.xxhash64(F.lit(7), *df.columns), F.lit(1 << 30)) < share)
+    return df.orderBy(hashed, *df.columns).limit(most).collect()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import some_rows, spread
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "hi", "hi-latn")
 #: Labelled rows read for fitting, at most.
@@ -80,12 +80,13 @@ def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     c = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
     mix = c * np.uint32(2654435761)
+    mix ^= mix >> np.uint32(15)
     b = np.zeros_like(mix)
     b[1:] = mix[:-1]
-    b = b * np.uint32(31) + mix
+    b = b * np.uint32(2246822507) + mix
     t = np.zeros_like(mix)
-    t[2:] = mix[:-2] * np.uint32(961)
-    t = t + b * np.uint32(7) + np.uint32(12345)
+    t[2:] = mix[:-2] * np.uint32(3266489909)
+    t = t + b * np.uint32(668265263) + np.uint32(12345)
     fold = lambda x: ((x ^ (x >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(8)) & np.uint32(WIDTH - 1)
     return np.stack([fold(mix), fold(b + np.uint32(99)), fold(t)], 1).astype(np.int32), np.cumsum(sizes) - sizes
 
@@ -139,7 +140,7 @@ def fit_on(df: DataFrame, text: str, label: str, sample: int = SAMPLE) -> Model:
     seeds = [(s.strip(), k) for k, v in SEEDS.items() for s in re.split(r"(?<=[.?!।])\s+", v)]
     seeds += [(" ".join(s for s, k in seeds if k == language), language) for language in LANGUAGES]
     rows = df.select(F.col(text).alias("t"), declared_language(F.col(label)).alias("k")).where(F.col("k").isin(*LANGUAGES) & (F.length("t") > 0))
-    picked = rows.orderBy(F.xxhash64("t", "k")).limit(sample).collect()
+    picked = some_rows(rows, sample)
     listed = [(p[:2_000], r.k) for r in picked for p in paragraphs(r.t)]  # fitting only; scoring reads whole texts
     model = fit(*map(list, zip(*seeds)))
     if not listed:

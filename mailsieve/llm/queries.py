@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_per_message, table, text_or_empty
+from .common import one_per_message, spread, table, text_or_empty
+from .encodings import damaged_texts
 from .languages import document_languages
 from .lookalikes import one_form, same_face
 from .near_duplicates import group_pairs, near_duplicates
@@ -88,6 +89,16 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_face(one_form(_faces(spark, sf_dir), "value", known.select("written")), known)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_restored(spark, sf_dir).select("src", "rec_id", "part_no").distinct()
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = table(spark, sf_dir, "parsed_messages").select(F.lit("parsed_messages").alias("src"), F.col("parsed_id").alias("rec_id"), F.posexplode("text").alias("part_no", "t"))
+    subjects = _family(spark, sf_dir, "roundup-newsletter", "subject").select(F.lit("messages").alias("src"), F.col("msg_id").alias("rec_id"), F.lit(-1).alias("part_no"), F.col("subject").alias("t"))
+    return damaged_texts(spread(parsed.unionByName(subjects)), ["src", "rec_id", "part_no"], "t")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
