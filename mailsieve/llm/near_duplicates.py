@@ -192,12 +192,13 @@ def near_duplicates(df: DataFrame, key: str, text: Column, n: int = 5, threshold
     classes = keyed.groupBy("print").agg(F.min("key").alias("cid"), F.min_by("grams", "key").alias("grams"))
     classes = cut(classes)
 
-    tokens = classes.select("cid", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    tokens = classes.select("cid", F.explode("grams").alias("gram"))
     counts = tokens.groupBy("gram").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     ordered = (
         tokens.join(counts, "gram")
-        .groupBy("cid", "n")
+        .groupBy("cid")
         .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("x"))
+        .join(classes.select("cid", F.size("grams").alias("n")), "cid")
         .select("cid", "n", F.col("x.gram").alias("grams"), F.col("x.df").alias("df"))
     )
     ids = candidate_pairs(ordered, threshold)
