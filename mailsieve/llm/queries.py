@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .common import one_per_message, spread, table, text_or_empty
 from .encodings import damaged_texts
 from .languages import document_languages
+from .leakage import leaked_items
 from .lookalikes import one_form, same_face
+from .mixture import mix, shares
 from .near_duplicates import group_pairs, near_duplicates
+from .quality import text_quality
 from .quoted_history import newly_written
 
 
@@ -99,6 +102,30 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_texts(spread(parsed.unionByName(subjects)), ["src", "rec_id", "part_no"], "t")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).where("kind = 'phrase'").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "source_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(p8_mixture(spark, sf_dir), "doc_id", table(spark, sf_dir, "source_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_quality(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
