@@ -14,6 +14,7 @@ from .leakage import leaked_items
 from .lookalikes import one_form, same_face
 from .mixture import mix, shares
 from .near_duplicates import group_pairs, near_duplicates
+from .personal import personal_information
 from .quality import text_quality
 from .quoted_history import newly_written
 
@@ -92,6 +93,14 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_face(one_form(_faces(spark, sf_dir), "value", known.select("written")), known)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_redacted(spark, sf_dir).select("msg_id", "field", F.explode("found").alias("x")).select("msg_id", "field", "x.kind", "x.value").distinct()
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_information(_family(spark, sf_dir, "supplier-invoice", "subject", "body_text"), ["msg_id"], ["subject", "body_text"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_restored(spark, sf_dir).select("src", "rec_id", "part_no").distinct()
 
