@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -49,8 +49,11 @@ _case_lists = {"given": frozenset(g.lower() for g in GIVEN), "month": frozenset(
 _cue = {w: k for k, v in CUES.items() for w in v.split()}
 
 
+_span = re.Match.span
+
+
 def tokenize(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _token.finditer(text)]
+    return list(map(_span, _token.finditer(text)))
 
 
 def _shape(token: str) -> str:
@@ -85,24 +88,32 @@ def features(token: str, known: frozenset[str]) -> list[str]:
     return names
 
 
+@lru_cache(100_000)
 def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ø", "o").replace("ß", "ss").replace("æ", "ae")) if not unicodedata.combining(c))
 
 
-_address = re.compile(r"([\w.%+-]+)(?:@|\s?\(at\)|\s?\[at\])", re.I)
-
-
-def flags(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """Per token: starts a line, ends a line, recurs in the local part of a mail address of the text."""
-    locals_ = {x.lower() for x in _address.findall(text)}
-    parts = {p for x in locals_ for p in re.split(r"[.+_%-]", x) if len(p) > 2}
-    out = np.zeros((len(spans), 3), np.float32)
-    for i, (a, b) in enumerate(spans):
-        out[i, 0] = a == 0 or text[a - 1] == "\n" or text[max(0, text.rfind("\n", 0, a) + 1) : a].strip("> |\t") == ""
-        out[i, 1] = b == len(text) or text[b] == "\n"
-        if b - a > 2 and text[a].isupper():
-            word = _plain(text[a:b])
-            out[i, 2] = word in parts or any(p[1:] == word for p in parts)
+_spelled_local = re.compile(r"([\w.%+-]{1,64})\s?(?:\(at\)|\[at\])", re.I)
+_split = re.compile(r"[.+_%-]")
+
+
+def flags(text: str, tokens: list[str]) -> np.ndarray:
+    """Per token: starts a line, quotation marks apart; ends one; recurs in the local part of a mail address."""
+    n = len(tokens)
+    out = np.zeros((n, 3), np.float32)
+    newline = np.fromiter((t == "\n" for t in tokens), bool, n)
+    solid = ~(newline | np.fromiter((t in ">|" for t in tokens), bool, n))
+    before = np.cumsum(solid) - solid
+    out[:, 0] = before == np.maximum.accumulate(np.where(newline, before, 0))
+    out[:-1, 1] = newline[1:]
+    out[-1:, 1] = 1
+    locals_ = [t.partition("@")[0] for t in tokens if "@" in t]
+    if "at)" in text or "at]" in text:
+        locals_ += _spelled_local.findall(text)
+    parts = {p for x in locals_ for p in _split.split(x.lower()) if len(p) > 2}
+    if parts:
+        parts |= {p[1:] for p in parts}
+        out[:, 2] = [len(t) > 2 and t[0].isupper() and _plain(t) in parts for t in tokens]
     return out
 
 
@@ -152,7 +163,8 @@ class Tagger:
         if len(self.index) > 200_000:
             self._reset()
         spans = [tokenize(t) for t in texts]
-        flat = self.types([t[a:b] for t, ss in zip(texts, spans) for a, b in ss])
+        tokens = [[t[a:b] for a, b in ss] for t, ss in zip(texts, spans)]
+        flat = self.types([x for ts in tokens for x in ts])
         cuts = np.cumsum([0, *map(len, spans)])
         found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         order = sorted((i for i in range(len(texts)) if spans[i]), key=lambda i: len(spans[i]))
@@ -161,7 +173,7 @@ class Tagger:
             longest = len(spans[part[-1]])
             score = np.zeros((len(part), longest, len(TAGS)), np.float32)
             for k, i in enumerate(part):
-                score[k, : len(spans[i])] = self.emissions(flat[cuts[i] : cuts[i + 1]], flags(texts[i], spans[i]))
+                score[k, : len(spans[i])] = self.emissions(flat[cuts[i] : cuts[i + 1]], flags(texts[i], tokens[i]))
             for i, path in zip(part, self._best(score, [len(spans[i]) for i in part])):
                 found[i] = _spans(path, spans[i])
         return found
@@ -239,7 +251,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
         grid, gold, marks = np.full((len(part), longest), -1), np.zeros((len(part), longest), np.int64), np.zeros((len(part), longest, 3), np.float32)
         for row, k in enumerate(part):
             n = len(ids[k])
-            grid[row, :n], gold[row, :n], marks[row, :n] = ids[k], tags[k], flags(*texts[k])
+            grid[row, :n], gold[row, :n], marks[row, :n] = ids[k], tags[k], flags(texts[k][0], [texts[k][0][a:b] for a, b in texts[k][1]])
             np.add.at(pairs, (gold[row, : n - 1], gold[row, 1:n]), 1)
             pairs[-1, gold[row, 0]] += 1
         real = grid >= 0
