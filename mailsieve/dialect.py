@@ -36,6 +36,10 @@ class Dialect:
     def one_of(self, column: str, values) -> str:
         return f"({column} IN ({', '.join(self.literal(v) for v in values)}))"
 
+    def common(self, words: str, markers) -> str:
+        """How many of the markers are among the words of a text."""
+        raise NotImplementedError
+
     # the same in both, given the above
     def words(self, column: str) -> str:
         """Lower-cased words apart by single spaces, a space at either end."""
@@ -70,6 +74,9 @@ class Spark(Dialect):
     def overlap(self, column: str, values) -> str:
         return f"arrays_overlap({column}, {self.strings(values)})"
 
+    def common(self, words: str, markers) -> str:
+        return f"size(array_intersect(split({words}, ' '), {self.strings(markers)}))"
+
 
 class Duck(Dialect):
     def match(self, column: str, pattern: str) -> str:
@@ -87,5 +94,8 @@ class Duck(Dialect):
     def overlap(self, column: str, values) -> str:
         return f"list_has_any({column}, {self.strings(values)})"
 
+    def common(self, words: str, markers) -> str:
+        return f"len(list_distinct(list_intersect(string_split({words}, ' '), {self.strings(markers)})))"
+
 
 SPARK, DUCK = Spark(), Duck()

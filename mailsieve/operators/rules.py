@@ -126,12 +126,12 @@ def attachments(q: Dialect) -> list[Rule]:
 
 
 def language_flag(q: Dialect, language: str) -> str:
-    """At least three different markers in the first words; Hindi by its script."""
-    window = f"concat(substring(text_words, 1, {BOUNDS.language_window}), ' ')"
+    """At least three different markers among the first words; Hindi by its script."""
+    window = f"substring(text_words, 1, {BOUNDS.language_window})"
     if language == "hi":
         letters = q.replace(window, r"[^\x{0900}-\x{097F}]", "")
         return f"length({letters}) >= 0.12 * length({window})"
-    return "(" + " + ".join(f"CASE WHEN {window} LIKE '% {w} %' THEN 1 ELSE 0 END" for w in LANGUAGE_MARKERS[language]) + ") >= 3"
+    return f"{q.common(window, LANGUAGE_MARKERS[language])} >= 3"
 
 
 def language_flags(q: Dialect) -> dict[str, str]:

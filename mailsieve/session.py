@@ -22,6 +22,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        # rules cost time per row, not per byte: small inputs are to use every core too
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
