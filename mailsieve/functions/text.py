@@ -141,7 +141,7 @@ def _each(f, returns: str):
     @F.pandas_udf(returns)
     def apply(values: pd.Series) -> pd.Series:
         known = {v: f(v) for v in values.dropna().unique()}
-        return values.map(known)
+        return pd.Series([known.get(v) for v in values], dtype=object)
 
     return apply
 
