@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread
-from .personal_table import GIVEN, MONTHS, DAYS, labelled
+from .personal_table import DAYS, GIVEN, MONTHS, TRADES, labelled
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
@@ -317,6 +317,9 @@ def _expectations(score: np.ndarray, step: np.ndarray, sizes: np.ndarray) -> tup
 
 _tracking = re.compile(r"\d{4,5}-\d{3,5}-\d{4,5}$|\d{3,5}-\d{5}-")
 _identity = re.compile(r"(?:social\s+security(?:\s+number)?|SSN|passport|insurance\s+n\w*\.?|NI\s+n\w*\.?|personal\s+ID|ID\s+card|identity\s+card|licence(?:\s+number)?)[\s:>|]*$", re.I)
+# a firm's name goes on with its trade; a lone word after such a preposition is a place
+_firm = re.compile(rf"[ \t]+(?:& Sons\b|and Sons\b|(?:{'|'.join(TRADES)})\b|Ltd\b|GmbH\b|Inc\b)")
+_place = re.compile(r"\b(?:to|for|in|left|from)\s[>|\s]*$")
 _titles = re.compile(r"^(?:mr|ms|mrs|mx|dr|prof)\.?\s+|^(?:hi|hello|dear|hallo)\s+", re.I)
 
 
@@ -339,6 +342,8 @@ def checked(kind: str, start: int, end: int, text: str) -> tuple[int, int] | Non
             start -= len(initial[0])
             value = text[start:end]
         value = re.sub(r"(?:['’]s)?[\s,;:.]*$", "", value)
+        if _firm.match(text, start + len(value)) or (value.isalpha() and value.lower() not in _case_lists["given"] and _place.search(text, max(0, start - 20), start)):
+            return None
         return (start, start + len(value)) if len(value) > 1 and value[0].isupper() and not any(c.isdigit() for c in value) else None
     value = value.rstrip(" ,;\n>|")
     start += len(value) - len(value.lstrip(" \n\t>|,"))

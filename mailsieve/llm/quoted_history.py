@@ -76,6 +76,7 @@ _notice = re.compile(NOTICES, re.I)
 _postscript = re.compile(rf"^\s*(?:{POSTSCRIPT})", re.I)
 _greeting = re.compile(rf"(?:{GREETINGS})(?!\w)", re.I)
 _contact = re.compile(r"^\s*(?:(?:t|tel|phone|mobile|mob|cell|fax|e-?mail|web|m|office|handy|telefon|tél|portable|móvil|telefono|telefoon)\b\.?\s*[:.]?\s*)?(?:\+?[\d (][\d ().\-/]{5,}(?:\s*(?:ext|x|poste|durchwahl)\.?\s*\d+)?|\S+\s?(?:@|\[at\]|\(at\))\s?\S+|(?:https?://|www\.)\S+)\s*$", re.I)
+_barred = re.compile(r"^\s*[^|.?!:]{3,40} \| [^|]{2,60} \| [^|]{2,60}(?: \| [^|]*)*$")
 _postcode = re.compile(r"\b\d{4,5}\b|\b[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}\b")
 _cased = re.compile(r"^[A-ZÀ-ÞŁŚŽŠ]")
 
@@ -136,7 +137,7 @@ def _looks_signed(line: str, last: bool) -> bool:
     text = line.strip()
     if not text or len(text) > 110:
         return False
-    if _device.match(text) or _contact.match(text) or text.count(" | ") >= 2:
+    if _device.match(text) or (_contact.match(text) and text[-1] not in ".,;") or text.count(" | ") >= 2:
         return True
     if text[-1] in ".?!:;," or _greeting.match(text) or text.lstrip("-*• ") != text:
         return False
@@ -168,6 +169,10 @@ def _kept(lines: list[str], first: int, end: int) -> list[int]:
         if _delimiter.match(line) or _closing.match(line) or _device.match(line):
             signed = True
             continue
+        if _barred.match(line):  # a signature in one line, whatever follows it
+            drop.add(k)
+            k += 1
+            continue
         notice = not blank and (_notice.search(line) or (k + 1 < end and _notice.search(line + " " + lines[k + 1]) and not _notice.search(lines[k + 1]) and (k == first or not lines[k - 1].strip())))
         if notice or (_rule.match(line) and not lines[k].strip("-_*=#~ ")):
             while k < end and lines[k].strip():
@@ -192,7 +197,7 @@ def _unsigned(lines: list[str], kept: list[int], first: int) -> list[int]:
     whole = bool(block) and (block[0] == first or not lines[block[0] - 1].strip())
     if not whole:  # lines that end a paragraph: only what is unmistakable
         cut = len(kept)
-        while cut and (_device.match(lines[kept[cut - 1]].strip()) or _contact.match(lines[kept[cut - 1]].strip()) or lines[kept[cut - 1]].count(" | ") >= 2):
+        while cut and (_device.match(lines[kept[cut - 1]].strip()) or (_contact.match(lines[kept[cut - 1]].strip()) and lines[kept[cut - 1]].rstrip()[-1] not in ".,;") or lines[kept[cut - 1]].count(" | ") >= 2):
             cut -= 1
     return kept[:cut] if cut < len(kept) else kept
 
