@@ -44,15 +44,14 @@ def enriched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.coalesce("prior_senders", F.array()),
         lambda p: (F.lower(p["name"]) == F.lower("raw_name")) & (F.col("raw_name") != "") & (F.regexp_replace(F.lower(F.regexp_extract(p["email"], r"@([^@\s<>]+)>?\s*$", 1)), r"\.+$", "") != F.col("sender_domain")),
     )
-    parties = spark.read.parquet(f"{sf_dir}/messages.parquet").where("msg_id IS NOT NULL AND thread IS NOT NULL").groupBy("msg_id").agg(F.min_by("thread.prior_senders", F.coalesce("received_at", F.lit("9999-01-01").cast("timestamp"))).alias("prior_senders"))
+    claimed = claims(ctx, known)
     full = (
-        ctx.join(claims(ctx, known), "msg_id", "left")
+        ctx.join(claimed, "msg_id", "left")
         .join(near, ctx["sender_core"] == near["core"], "left")
         .drop("core", "near_distance")
         .join(owner.select(F.col("brand_domain").alias("registrable"), F.col("owner").alias("sender_brand")), "registrable", "left")
         .join(link_totals(lnk, ctx), "msg_id", "left")
         .fillna(0, ["web_links", "unsubscribe_links", "foreign_links", "strange_links"])
-        .join(parties, "msg_id", "left")
         .withColumn("name_reused", F.coalesce(prior, F.lit(False)))
         .drop("prior_senders")
     )
@@ -65,7 +64,8 @@ def enriched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .join(labels, "host", "left")
         .join(anchors, "anchor", "left")
         .join(host_near, F.regexp_extract("host_registrable", r"^([^.]+)", 1) == F.col("_core"), "left")
-        .join(full.select("msg_id", "registrable", "proven", "claim_id", "claim_domain"), "msg_id")
+        .join(ctx.select("msg_id", "registrable", "proven"), "msg_id")
+        .join(claimed, "msg_id", "left")
     )
     return full, links
 
@@ -209,7 +209,7 @@ def signals_sql(q: Dialect = DUCK) -> str:
     return f"""WITH {context_sql(q)}, {brands_sql(q)},
 own AS (SELECT brand_domain, min(brand_id) AS owner FROM brand GROUP BY 1),
 tot AS (SELECT l.msg_id, count_if(web) AS web_links, count_if(web AND {unsub}) AS unsubscribe_links, count_if(web AND host_registrable <> registrable) AS foreign_links, count_if(web AND NOT tracker AND host_registrable <> registrable) AS strange_links FROM lnk l JOIN (SELECT msg_id, registrable FROM ctx) USING (msg_id) GROUP BY 1),
-prior AS (SELECT msg_id, unnest(thread.prior_senders) AS p FROM (SELECT * FROM messages WHERE msg_id IS NOT NULL AND thread IS NOT NULL QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY received_at) = 1)),
+prior AS (SELECT msg_id, unnest(prior_senders) AS p FROM ctx),
 reuse AS (SELECT DISTINCT c.msg_id FROM ctx c JOIN prior USING (msg_id) WHERE raw_name <> '' AND lower(p.name) = lower(raw_name) AND {domain} <> sender_domain),
 base AS (SELECT ctx.*, claim_id, claim_domain, near_id, owner AS sender_brand, coalesce(web_links, 0) AS web_links, coalesce(unsubscribe_links, 0) AS unsubscribe_links, coalesce(foreign_links, 0) AS foreign_links, coalesce(strange_links, 0) AS strange_links, reuse.msg_id IS NOT NULL AS name_reused FROM ctx LEFT JOIN claim USING (msg_id) LEFT JOIN near ON sender_core = core LEFT JOIN own ON registrable = brand_domain LEFT JOIN tot USING (msg_id) LEFT JOIN reuse USING (msg_id)),
 flagged AS (SELECT *, {flags}, {R.bulk_flag(q)} AS bulk FROM base),

@@ -59,6 +59,7 @@ def message_columns(q: Dialect) -> dict[str, str]:
         "provider_warning": "coalesce(auth.gmail_warning, '') <> ''",
         "unauthenticated": "coalesce(auth.unauthenticated_indicator, false)",
         "hidden_chars": "coalesce(hidden_text.chars, 0)",
+        "prior_senders": "thread.prior_senders",
     }
 
 
