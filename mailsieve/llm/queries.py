@@ -139,5 +139,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+#: The same results by plain means: all pairs that share an n-gram, counted; all windows of words, compared.
+_P1 = f"""WITH RECURSIVE one AS (SELECT * FROM messages WHERE name = 'payment-lure' AND msg_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY received_at) = 1),
+w AS (SELECT msg_id, {_WORDS.format("coalesce(subject, '') || chr(10) || coalesce(body_text, '')")} AS ws FROM one),
+g AS (SELECT DISTINCT msg_id, array_to_string(ws[i : i + 2], ' ') AS gram FROM w, unnest(range(1, len(ws) - 1)) AS t(i)),
+n AS (SELECT msg_id, count(*) AS size FROM g GROUP BY 1),
+shared AS (SELECT a.msg_id AS a, b.msg_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.msg_id <> b.msg_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON a = x.msg_id JOIN n y ON b = y.msg_id WHERE 2 * c >= x.size + y.size - c),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT a AS msg_id_a, b AS msg_id_b FROM reach WHERE a < b"""
+_P7 = f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(ws[k : k + 11], ' ') AS g FROM d, unnest(range(1, len(ws) - 10)) AS t(k)), ig AS (SELECT item_id, array_to_string(ws[k : k + 11], ' ') AS g FROM i, unnest(range(1, len(ws) - 10)) AS t(k))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": _P1, "p7_found": _P7}

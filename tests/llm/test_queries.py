@@ -23,3 +23,10 @@ def test_query(spark, sf_dir, name):
         assert rows and len(rows) == len(set(rows))
     else:
         assert df.limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_same_rows_as_sql(spark, sf_dir, duck, name):
+    got = q.queries()[name](spark, sf_dir).toPandas()
+    want = duck.execute(q.oracle_sql()[name]).df()
+    assert sorted(map(tuple, got[sorted(got)].values.tolist())) == sorted(map(tuple, want[sorted(want)].values.tolist()))
