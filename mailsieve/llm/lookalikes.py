@@ -137,7 +137,7 @@ def one_form(df: DataFrame, value: str, reference: DataFrame | None = None) -> D
     pure = counted.where(F.col("value").rlike(r"[^\x00-\x7F]") & ~F.col("value").rlike(r"[^\x00-\x7F\xC0-\x{130}\x{132}-\x{17F}]")).select(F.lower("value").alias("v"), "n", F.lit(0).alias("given"))
     known = clean.union(pure)
     if reference is not None:
-        known = known.union(reference.select(F.lower(reference[0]), F.lit(0).cast("long"), F.lit(1)))
+        known = known.union(reference.toDF("v").select(F.lower("v"), F.lit(0).cast("long"), F.lit(1)))
     vocabulary = known.select(F.explode(F.regexp_extract_all("v", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"), "n", "given").groupBy("word").agg(F.sum("n").alias("n"), F.max("given").alias("given"))
 
     @F.pandas_udf("boolean")
