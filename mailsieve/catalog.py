@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import BOUNDS, CATEGORIES
 from .dialect import DUCK, HOST, KNOWN_TLD
 from .functions import html, text, url
-from .operators import report, rules, scoring, semantic, triage
+from .operators import report, rules, scoring, semantic, triage, trust
 from .operators.brands import brands, claims, near_targets
 from .plans.context import delivered_once, distinct_links, link_context, message_context, scan
 from .refdata import FREEMAIL, GENERIC_TLDS, OPEN_HOSTING
@@ -158,6 +158,14 @@ def auth_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return message_context(spark, sf_dir).groupBy("spf", "dkim", "dmarc", "proven").agg(F.count("*").alias("messages"))
 
 
+@query(f"{_ctx}, entry AS (SELECT DISTINCT regexp_extract(lower(email), '@(.*)$', 1) AS e FROM known_senders) SELECT CASE WHEN e IS NOT NULL AND proven THEN 'trusted' WHEN e IS NOT NULL THEN 'unproven' ELSE 'none' END AS state, count(*) AS messages FROM ctx LEFT JOIN entry ON e = CASE WHEN registrable = '' OR disposable THEN NULL WHEN freemail THEN lower(raw_email) ELSE registrable END GROUP BY 1")
+def sender_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by trust, with the protected identities' domains as the list of trusted senders."""
+    listed = scan(spark, sf_dir, "known_senders").select(F.regexp_extract(F.lower("email"), "@(.*)$", 1))
+    rows = trust.with_trust(message_context(spark, sf_dir), listed)
+    return rows.groupBy(trust.state(F.col("trusted"), F.col("proven")).alias("state")).agg(F.count("*").alias("messages"))
+
+
 @query(lambda: _whole("SELECT id, severity, count(*) AS messages FROM bag WHERE category = 'attachment' GROUP BY ALL"))
 def attachment_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.long_signals(scoring.bags(spark, sf_dir)).where("category = 'attachment'").groupBy("id", "severity").agg(F.count("*").alias("messages"))

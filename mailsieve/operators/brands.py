@@ -27,6 +27,19 @@ def claims(ctx: DataFrame, known: DataFrame) -> DataFrame:
     return first.select("msg_id", F.col("c.brand_id").alias("claim_id"), F.col("c.brand_domain").alias("claim_domain"))
 
 
+def same_core(known: DataFrame) -> DataFrame:
+    """(core, core_brand): the first identity by id whose domain has this core."""
+    return known.groupBy(F.col("target").alias("core")).agg(F.min("brand_id").alias("core_brand"))
+
+
+def labelled(hosts: DataFrame, known: DataFrame) -> DataFrame:
+    """(host, label_brand): the first identity by id whose core is a label left of the host's registrable domain.
+    hosts: host, registrable."""
+    inner = F.expr("substring(host, 1, greatest(length(host) - length(registrable) - 1, 0))")
+    labels = hosts.where("registrable <> ''").distinct().select("host", F.explode(F.split(inner, r"\.")).alias("label"))
+    return labels.join(known, F.col("label") == F.col("target")).groupBy("host").agg(F.min("brand_id").alias("label_brand"))
+
+
 def segments(length: F.Column, part: F.Column) -> tuple[F.Column, F.Column]:
     """Start (from 0) and size of the third number ``part`` of a word of the given length."""
     start = F.floor(length * part / 3).cast("int")

@@ -32,6 +32,7 @@ from ..refdata import (
     UNSUBSCRIBE,
 )
 
+DEPARTMENTS = "hr|human resources|payroll|it|helpdesk|help desk|it support|finance|accounting|accounts payable|management|admin|compliance"
 HIDDEN = "[​-‏‪-‮⁠-⁤⁦-⁩﻿­]"
 BIDI = "[‪-‮⁦-⁩]"
 STYLED = "[\U0001d400-\U0001d7ff]"
@@ -77,10 +78,20 @@ def identity(q: Dialect) -> list[Rule]:
     deep = "length(sender_domain) - length(replace(sender_domain, '.', '')) - (length(registrable) - length(replace(registrable, '.', ''))) > 4"
     close = "levenshtein(sender_core, recipient_core)"
     alert = q.match("subject_words", " (password|sign in|login|security|suspended|blocked|expired?|unusual|verify) ")
+    notice = q.match("name_words", " (settlement|claims|class action|administrator|trustee) ")
+    # a fragment from the start of a long local part that comes back at least three times
+    repeats = " OR ".join(f"length(local_part) - length(replace(local_part, substring(local_part, 1, {k}), '')) >= {3 * k}" for k in (2, 3, 4))
+    scrambled = f"length(raw_local) - length({q.replace('raw_local', '[a-z][A-Z]', '')}) >= 8"
     return [
         Rule("identity.display_name_impersonation", "critical", 40, f"{stranger} AND freemail"),
-        Rule("identity.display_name_impersonation", "high", 30, f"{stranger} AND NOT freemail"),
-        Rule("identity.lookalike_sender_domain", "critical", 45, "near_id IS NOT NULL AND sender_brand IS NULL"),
+        Rule("identity.display_name_impersonation", "high", 30, f"{stranger} AND NOT freemail AND NOT {notice}"),
+        Rule("identity.brand_named_in_legal_notice", "medium", 15, f"{stranger} AND NOT freemail AND {notice}"),
+        Rule("identity.unverified_brand_domain", "medium", 18, "core_brand IS NOT NULL AND sender_brand IS NULL"),
+        Rule("identity.lookalike_sender_domain", "critical", 45, "near_id IS NOT NULL AND sender_brand IS NULL AND core_brand IS NULL"),
+        Rule("identity.brand_domain_in_subdomain", "critical", 40, "label_brand IS NOT NULL AND sender_brand IS NULL"),
+        Rule("identity.implausible_local_part", "medium", 16, f"length(local_part) >= 12 AND ({repeats})"),
+        Rule("identity.randomised_address_case", "medium", 14, scrambled),
+        Rule("identity.thread_lookalike_participant", "critical", 45, "party_imitated"),
         Rule("identity.reply_to_mismatch", "high", 26, f"{reply} AND reply_freemail AND NOT freemail"),
         Rule("identity.reply_to_mismatch", "medium", 16, f"{reply} AND NOT (reply_freemail AND NOT freemail)"),
         Rule("identity.sender_punycode_domain", "high", 24, q.match("sender_domain", r"(^|\.)xn--")),
@@ -96,9 +107,10 @@ def identity(q: Dialect) -> list[Rule]:
         Rule("identity.external_executive_claim", "high", 28, f"freemail AND {outside} AND {q.match('concat(name_words, subject_words)', f' ({EXECUTIVE_TITLES}) ')}"),
         Rule("identity.unsupported_org_claim", "high", 26, f"freemail AND {q.match('name_words', f' ({ORGANISATION_MARKERS}) ')}"),
         Rule("identity.lookalike_of_recipient_domain", "critical", 45, f"{outside} AND length(sender_core) >= 5 AND length(recipient_core) >= 5 AND sender_core <> recipient_core AND ({close} = 1 OR ({close} = 2 AND length(sender_core) >= 10 AND length(recipient_core) >= 10))"),
+        Rule("identity.own_department_from_outside", "medium", 16, f"{outside} AND length(recipient_core) >= 4 AND name_words LIKE concat('% ', recipient_core, ' %') AND {q.match('name_words', f' ({DEPARTMENTS}) ')}"),
         Rule("identity.own_domain_in_sender_name", "medium", 22, f"{outside} AND length(recipient_core) >= 4 AND name_words LIKE concat('% ', recipient_core, ' %')"),
         Rule("identity.alert_named_shared_item", "medium", 20, f"{q.match('subject_words', ' (shared|sent) ( ?[^ ]+ ){0,3}?(file|document|folder|item) ')} AND {alert}"),
-        Rule("identity.thread_participant_name_reuse", "high", 30, "name_reused"),
+        Rule("identity.thread_participant_name_reuse", "high", 30, "name_reused AND NOT party_imitated"),
     ]
 
 
@@ -223,12 +235,12 @@ def message_rules(q: Dialect) -> list[Rule]:
 
 #: Ids that a correlation joins.
 MONEY = [f"content.{t}" for t in ("wire_transfer", "payment_detail_change", "payroll_change", "gift_card", "invoice_fraud")]
-IMPERSONATION = ["identity.display_name_impersonation", "identity.lookalike_sender_domain", "identity.sender_punycode_domain", "identity.thread_participant_name_reuse", "identity.lookalike_of_recipient_domain", "link.lookalike_domain", "link.misleading_domain", "link.displayed_url_mismatch"]
+IMPERSONATION = ["identity.display_name_impersonation", "identity.brand_domain_in_subdomain", "identity.thread_lookalike_participant", "identity.lookalike_sender_domain", "identity.sender_punycode_domain", "identity.thread_participant_name_reuse", "identity.lookalike_of_recipient_domain", "link.lookalike_domain", "link.misleading_domain", "link.displayed_url_mismatch"]
 CREDENTIAL = ["content.credential_verification", "link.credential_link_unrelated_domain", "link.credential_link_open_hosting"]
 DANGEROUS_FILES = ["attachment.executable", "attachment.disk_image", "attachment.script_container", "attachment.double_extension", "attachment.macro_capable"]
 PRETEXT = " (invoice|receipt|statement|document|report|order|contract|scan|payment) "
 #: Identity findings that can be made of a sender line alone.
 TRIAGE = [f"identity.{x}" for x in (
-    "display_name_impersonation", "lookalike_sender_domain", "sender_punycode_domain", "sender_invisible_characters", "styled_display_name", "nonexistent_sender_tld", "sender_ip_domain", "malformed_sender_domain",
+    "display_name_impersonation", "brand_domain_in_subdomain", "lookalike_sender_domain", "sender_punycode_domain", "sender_invisible_characters", "styled_display_name", "nonexistent_sender_tld", "sender_ip_domain", "malformed_sender_domain",
     "disposable_sender_domain", "external_executive_claim", "unsupported_org_claim", "lookalike_of_recipient_domain", "own_domain_in_sender_name",
 )]

@@ -14,7 +14,7 @@ from ..config import CATEGORIES, SCORING, SEVERITIES
 from ..dialect import DUCK, SPARK, Dialect
 from ..plans.context import context_sql, link_context, message_context
 from . import rules as R
-from .brands import brands, brands_sql, claims, near_targets, nearest
+from .brands import brands, brands_sql, claims, labelled, near_targets, nearest, same_core
 
 SIGNAL = "array<struct<id: string, category: string, severity: string, score: int>>"
 
@@ -26,6 +26,16 @@ def rank(severity: Column) -> Column:
     return out
 
 
+#: The label before the ending of a host, as parties are compared.
+REGISTRABLE_CORE = r"([^.]+)\.[^.]+$"
+
+
+def near_names(a: Column, b: Column) -> Column:
+    """One edit apart, or two where both are long; short names are never near."""
+    far = F.levenshtein(a, b)
+    return (F.length(a) >= 5) & (F.length(b) >= 5) & ((far == 1) | ((far == 2) & (F.length(a) >= 8) & (F.length(b) >= 8)))
+
+
 def link_totals(links: DataFrame, senders: DataFrame) -> DataFrame:
     """Per message: web links, links of an unsubscribe kind, links to others than the sender's domain."""
     unsubscribe = F.lower(F.col("anchor")).rlike("unsubscribe|abbestellen|désabonner|darse de baja|manage|uitschrijven")
@@ -44,6 +54,10 @@ def enriched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.coalesce("prior_senders", F.array()),
         lambda p: (F.lower(p["name"]) == F.lower("raw_name")) & (F.col("raw_name") != "") & (F.regexp_replace(F.lower(F.regexp_extract(p["email"], r"@([^@\s<>]+)>?\s*$", 1)), r"\.+$", "") != F.col("sender_domain")),
     )
+    # an earlier party's domain but for one or two letters, and no earlier party has the sender's own
+    party_core = lambda p: F.regexp_extract(F.regexp_extract(F.lower(p["email"]), r"@([^@\s<>]+)>?\s*$", 1), REGISTRABLE_CORE, 1)
+    near_party = F.exists(F.coalesce("prior_senders", F.array()), lambda p: near_names(F.col("sender_core"), party_core(p)))
+    known_party = F.exists(F.coalesce("prior_senders", F.array()), lambda p: party_core(p) == F.col("sender_core"))
     claimed = claims(ctx, known)
     full = (
         ctx.join(claimed, "msg_id", "left")
@@ -52,7 +66,11 @@ def enriched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .join(owner.select(F.col("brand_domain").alias("registrable"), F.col("owner").alias("sender_brand")), "registrable", "left")
         .join(link_totals(lnk, ctx), "msg_id", "left")
         .fillna(0, ["web_links", "unsubscribe_links", "foreign_links", "strange_links"])
+        .join(same_core(known), ctx["sender_core"] == F.col("core"), "left")
+        .drop("core")
+        .join(labelled(ctx.select(F.col("sender_domain").alias("host"), "registrable"), known).withColumnRenamed("host", "sender_domain"), "sender_domain", "left")
         .withColumn("name_reused", F.coalesce(prior, F.lit(False)))
+        .withColumn("party_imitated", F.coalesce(near_party & ~known_party, F.lit(False)))
         .drop("prior_senders")
     )
     labels = lnk.select("host").distinct().select("host", F.explode(F.split("host", r"[.-]")).alias("keyword")).join(known, "keyword").groupBy("host").agg(F.min("brand_id").alias("label_brand"))
@@ -117,16 +135,18 @@ def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refined(bag: DataFrame) -> DataFrame:
     """``signals`` softened where the sender is proven to be who it says and nothing technical speaks against it: a
     content finding below high drops one severity and keeps a quarter of its score; a combination that a proven sender
-    refutes counts for nothing. Adds ``dampened`` to every signal."""
+    refutes counts for nothing. A column ``trusted`` (``operators.trust``) softens as a verified identity does, but
+    refutes nothing. Adds ``dampened`` to every signal."""
     blocked = F.exists("signals", lambda s: s["category"].isin(list(SCORING.blockers)) & (rank(s["severity"]) >= 2))
+    trusted = F.col("trusted") if "trusted" in bag.columns else F.lit(False)
     aligned = F.expr("proven AND NOT freemail AND (claim_domain = registrable OR (sender_brand IS NOT NULL AND claim_id IS NULL)) AND (web_links = 0 OR strange_links = 0)")
-    apply = ~blocked & F.coalesce(aligned, F.lit(False))
+    apply = ~blocked & (F.coalesce(aligned, F.lit(False)) | (F.coalesce(trusted, F.lit(False)) & F.col("proven")))
 
     def softer(s: Column) -> Column:
         level = rank(s["severity"])
         refuted = s["id"].isin(list(SCORING.refutable))
         content = apply & (s["category"] == "content")
-        zero = content & refuted
+        zero = content & refuted & F.coalesce(aligned, F.lit(False))
         drop = content & ~refuted & (level >= 1) & (level <= 2)
         lower = F.when(s["severity"] == "medium", "low").otherwise("info")
         return F.struct(
@@ -211,13 +231,17 @@ own AS (SELECT brand_domain, min(brand_id) AS owner FROM brand GROUP BY 1),
 tot AS (SELECT l.msg_id, count_if(web) AS web_links, count_if(web AND {unsub}) AS unsubscribe_links, count_if(web AND host_registrable <> registrable) AS foreign_links, count_if(web AND NOT tracker AND host_registrable <> registrable) AS strange_links FROM lnk l JOIN (SELECT msg_id, registrable FROM ctx) USING (msg_id) GROUP BY 1),
 prior AS (SELECT msg_id, unnest(prior_senders) AS p FROM ctx),
 reuse AS (SELECT DISTINCT c.msg_id FROM ctx c JOIN prior USING (msg_id) WHERE raw_name <> '' AND lower(p.name) = lower(raw_name) AND {domain} <> sender_domain),
-base AS (SELECT ctx.*, claim_id, claim_domain, near_id, owner AS sender_brand, coalesce(web_links, 0) AS web_links, coalesce(unsubscribe_links, 0) AS unsubscribe_links, coalesce(foreign_links, 0) AS foreign_links, coalesce(strange_links, 0) AS strange_links, reuse.msg_id IS NOT NULL AS name_reused FROM ctx LEFT JOIN claim USING (msg_id) LEFT JOIN near ON sender_core = core LEFT JOIN own ON registrable = brand_domain LEFT JOIN tot USING (msg_id) LEFT JOIN reuse USING (msg_id)),
+plainp AS (SELECT c.msg_id, regexp_replace(sender_core, '[^\\x00-\\x7F]', '?', 'g') AS s, sender_core, regexp_extract(regexp_extract(lower(p.email), '@([^@\\s<>]+)>?\\s*$', 1), '([^.]+)\\.[^.]+$', 1) AS pc FROM ctx c JOIN prior USING (msg_id)),
+party AS (SELECT msg_id FROM plainp GROUP BY 1 HAVING bool_or(length(s) >= 5 AND length(pc) >= 5 AND (levenshtein(s, pc) = 1 OR (levenshtein(s, pc) = 2 AND length(s) >= 8 AND length(pc) >= 8))) AND NOT bool_or(pc = sender_core)),
+same AS (SELECT target, min(brand_id) AS core_brand FROM brand GROUP BY 1),
+slab AS (SELECT host, min(brand_id) AS label_brand FROM (SELECT DISTINCT sender_domain AS host, unnest(string_split(substring(sender_domain, 1, greatest(length(sender_domain) - length(registrable) - 1, 0)), '.')) AS label FROM ctx WHERE registrable <> '') JOIN brand ON label = target GROUP BY 1),
+base AS (SELECT ctx.*, core_brand, label_brand, party.msg_id IS NOT NULL AS party_imitated, claim_id, claim_domain, near_id, owner AS sender_brand, coalesce(web_links, 0) AS web_links, coalesce(unsubscribe_links, 0) AS unsubscribe_links, coalesce(foreign_links, 0) AS foreign_links, coalesce(strange_links, 0) AS strange_links, reuse.msg_id IS NOT NULL AS name_reused FROM ctx LEFT JOIN claim USING (msg_id) LEFT JOIN near ON sender_core = core LEFT JOIN own ON registrable = brand_domain LEFT JOIN tot USING (msg_id) LEFT JOIN reuse USING (msg_id) LEFT JOIN party USING (msg_id) LEFT JOIN same ON sender_core = same.target LEFT JOIN slab ON sender_domain = slab.host),
 flagged AS (SELECT *, {flags}, {R.bulk_flag(q)} AS bulk FROM base),
 themed AS (SELECT *, {themes} FROM flagged),
 msig AS (SELECT msg_id, unnest([{cases(R.message_rules(q))}]) AS s FROM themed),
 lab AS (SELECT host, min(brand_id) AS label_brand FROM (SELECT DISTINCT host, unnest(regexp_split_to_array(host, '[.-]')) AS keyword FROM lnk) JOIN brand USING (keyword) GROUP BY 1),
 anc AS (SELECT anchor, min(brand_id) AS anchor_brand FROM (SELECT DISTINCT anchor, unnest(string_split(trim({q.words('anchor')}), ' ')) AS keyword FROM lnk) JOIN brand USING (keyword) GROUP BY 1),
-lfull AS (SELECT lnk.*, o.owner AS owner_brand, o2.owner AS shown_brand, label_brand, anchor_brand, n.near_id AS host_near, b.registrable, b.proven, b.claim_id, b.claim_domain FROM lnk JOIN base b USING (msg_id) LEFT JOIN own o ON lnk.host_registrable = o.brand_domain LEFT JOIN own o2 ON lnk.shown_registrable = o2.brand_domain LEFT JOIN lab ON lnk.host = lab.host LEFT JOIN anc ON lnk.anchor = anc.anchor LEFT JOIN near n ON regexp_extract(lnk.host_registrable, '^([^.]+)', 1) = n.core),
+lfull AS (SELECT lnk.*, o.owner AS owner_brand, o2.owner AS shown_brand, lab.label_brand, anchor_brand, n.near_id AS host_near, b.registrable, b.proven, b.claim_id, b.claim_domain FROM lnk JOIN base b USING (msg_id) LEFT JOIN own o ON lnk.host_registrable = o.brand_domain LEFT JOIN own o2 ON lnk.shown_registrable = o2.brand_domain LEFT JOIN lab ON lnk.host = lab.host LEFT JOIN anc ON lnk.anchor = anc.anchor LEFT JOIN near n ON regexp_extract(lnk.host_registrable, '^([^.]+)', 1) = n.core),
 lsig AS (SELECT msg_id, link_index, url, unnest([{cases(links)}]) AS s FROM lfull),
 ldist AS (SELECT DISTINCT msg_id, link_index, url, s FROM lsig WHERE s IS NOT NULL),
 lrank AS (SELECT *, row_number() OVER (PARTITION BY msg_id, s.id ORDER BY link_index, url) AS n FROM ldist),

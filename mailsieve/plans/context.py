@@ -41,6 +41,7 @@ def message_columns(q: Dialect) -> dict[str, str]:
         "sender_domain": f"coalesce({domain}, '')",
         "registrable": f"coalesce({q.registrable(domain)}, '')",
         "local_part": f"coalesce(lower({q.extract('sender_email', r'^(.*)@')}), '')",
+        "raw_local": f"coalesce({q.extract('sender_email', r'^(.*)@')}, '')",
         "has_sender": "coalesce(sender_email, '') <> ''",
         "raw_name": "coalesce(sender_name, '')",
         "raw_email": "coalesce(sender_email, '')",

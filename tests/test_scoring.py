@@ -58,3 +58,18 @@ def test_triage_takes_the_worst(spark):
     found = triage.worst(bag(spark, [("identity.disposable_sender_domain", "high", 26), ("identity.lookalike_sender_domain", "critical", 45), ("link.x", "critical", 90)])).collect()
     assert [(r.severity, r.id) for r in found] == [("critical", "identity.lookalike_sender_domain")]
     assert triage.worst(bag(spark, [("identity.sender_deep_subdomain", "low", 10)])).count() == 0
+
+
+def test_trust(spark):
+    from mailsieve.operators import trust
+
+    rows = [(1, "gmail.com", "gmail.com", "Ann@gmail.com", True), (2, "gmail.com", "gmail.com", "bob@gmail.com", True), (3, "shop.example", "mail.shop.example", "x@mail.shop.example", True), (4, "shop.example", "shop.example", "x@shop.example", False), (5, "", "", "x", True), (6, "mailinator.com", "mailinator.com", "a@mailinator.com", True)]
+    ctx = spark.createDataFrame(rows, "msg_id int, registrable string, sender_domain string, raw_email string, proven boolean")
+    listed = spark.createDataFrame([(e,) for e in trust.normalized_list([" ANN@gmail.com ", "shop.example", "shop.example", "mailinator.com", "no dot", ""])], "entry string")
+    got = {r.msg_id: r.s for r in trust.with_trust(ctx, listed).select("msg_id", trust.state(F.col("trusted"), F.col("proven")).alias("s")).collect()}
+    assert got == {1: "trusted", 2: "none", 3: "trusted", 4: "unproven", 5: "none", 6: "none"}
+
+
+def test_trust_softens_but_refutes_nothing(spark):
+    b = bag(spark, [("content.a", "medium", 20), ("content.combo.urgent_credential_request", "high", 30)], proven=True).withColumn("trusted", F.lit(True))
+    assert [(s.id, s.severity, s.score) for s in scoring.refined(b).first().signals] == [("content.a", "low", 5), ("content.combo.urgent_credential_request", "high", 30)]
