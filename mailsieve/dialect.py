@@ -40,6 +40,9 @@ class Dialect:
         """How many of the markers are among the words of a text."""
         raise NotImplementedError
 
+    def count(self, column: str, pattern: str) -> str:
+        raise NotImplementedError
+
     # the same in both, given the above
     def words(self, column: str) -> str:
         """Lower-cased words apart by single spaces, a space at either end."""
@@ -77,6 +80,9 @@ class Spark(Dialect):
     def common(self, words: str, markers) -> str:
         return f"size(array_intersect(split({words}, ' '), {self.strings(markers)}))"
 
+    def count(self, column: str, pattern: str) -> str:
+        return f"regexp_count({column}, {self.literal(pattern)})"
+
 
 class Duck(Dialect):
     def match(self, column: str, pattern: str) -> str:
@@ -97,5 +103,8 @@ class Duck(Dialect):
     def common(self, words: str, markers) -> str:
         return f"len(list_distinct(list_intersect(string_split({words}, ' '), {self.strings(markers)})))"
 
+    def count(self, column: str, pattern: str) -> str:
+        return f"len(regexp_extract_all({column}, {self.literal(pattern)}))"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -188,6 +188,7 @@ def content(q: Dialect) -> list[Rule]:
         Rule("content.subject_padding", "medium", 12, q.match("raw_subject", " {24,}")),
         Rule("content.forged_trust_assurance", "medium", 22, q.match("body_words", FORGED_ASSURANCE)),
         Rule("content.hidden_body_text", "medium", 22, f"hidden_chars >= {BOUNDS.hidden_chars}"),
+        Rule("link.echoed_form_link", "medium", 22, "form_lines >= 3 AND echoes_reader AND long_form_value AND strange_links > 0"),
         Rule("link.link_only_body", "medium", 25, f"body_chars < 140 AND foreign_links > 0 AND {q.match('subject_words', ACTION_SUBJECT)}"),
         Rule("link.link_only_body", "low", 10, f"body_chars < 140 AND foreign_links > 0 AND NOT {q.match('subject_words', ACTION_SUBJECT)}"),
     ]
@@ -200,6 +201,7 @@ def links(q: Dialect) -> list[Rule]:
     signs_in = q.match("lower(concat(anchor, ' ', path))", CREDENTIAL_ANCHOR)
     ip, private = q.match("host", IPV4), q.match("host", PRIVATE_IPV4)
     redirect = q.match("query", r"(?i)(^|&)(q|url|u|target|dest|destination|redirect|redirect_uri|redirect_url|return|next|continue|goto|go|to|link|out|r)=(https?(:|%3a)|//|[a-z0-9-]+(\.[a-z0-9-]+)+)")
+    opaque = q.match("query", r"(?i)(^|&)(q|url|u|target|dest|destination|redirect|redirect_uri|redirect_url|return|next|continue|goto|go|to|link|out|r)=((https?:)?//|https?%3a(%2f%2f)?)(&|$)")
     document = q.match("path", r"(?i)\.(html?|php|aspx?)$")
     file_name = q.match("lower(anchor)", r"^\s*[^\s/]+\.(pdf|docx?|xlsx?|pptx?|zip|csv|txt)\s*$")
     return [
@@ -213,6 +215,7 @@ def links(q: Dialect) -> list[Rule]:
         Rule("link.lookalike_domain", "critical", 40, f"{judged} AND host_near IS NOT NULL AND owner_brand IS NULL"),
         Rule("link.misleading_domain", "critical", 42, f"{judged} AND label_brand IS NOT NULL AND (owner_brand IS NULL OR owner_brand <> label_brand)"),
         Rule("link.url_shortener", "low", 10, "web AND shortener", 1),
+        Rule("link.opaque_redirect", "medium", 20, f"{judged} AND {opaque} AND host_registrable <> registrable"),
         Rule("link.redirect_chain", "medium", 18, f"{judged} AND {redirect} AND host_registrable <> registrable"),
         Rule("link.insecure_login", "high", 26, f"scheme = 'http' AND {signs_in}"),
         Rule("link.insecure_http", "low", 8, f"scheme = 'http' AND NOT {signs_in}"),

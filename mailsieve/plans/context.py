@@ -51,6 +51,10 @@ def message_columns(q: Dialect) -> dict[str, str]:
         "raw_subject": "coalesce(subject, '')",
         "subject_words": q.words(f"substring(coalesce(subject, ''), 1, {BOUNDS.subject})"),
         "body_words": q.words(f"substring(coalesce(body_text, ''), 1, {BOUNDS.body})"),
+        # lines of a filled-in form, and whether one gives the reader's own address
+        "form_lines": q.count("coalesce(body_text, '')", r"(?m)^[A-Za-z][A-Za-z /-]{1,30}: \S.*$"),
+        "echoes_reader": f"coalesce(recipient_email, '') <> '' AND {q.match('lower(coalesce(body_text, chr(10)))', r'(?m)^[a-z][a-z /-]{1,30}: ')} AND lower(coalesce(body_text, '')) LIKE concat('%: ', lower(coalesce(recipient_email, '?')), '%')",
+        "long_form_value": q.match("coalesce(body_text, '')", r"(?m)^[A-Za-z][A-Za-z /-]{1,30}: [^\n]{40,}$"),
         "body_chars": "length(coalesce(body_text, ''))",
         "spf": "coalesce(lower(auth.spf), 'unknown')",
         "dkim": "coalesce(lower(auth.dkim), 'unknown')",
