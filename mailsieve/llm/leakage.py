@@ -1,12 +1,14 @@
 """Evaluation items inside a corpus: a distributed positional inverted index, searched from the rarest terms.
 
-The index holds, per term and document, the sorted word positions; only terms of the items are posted. Every window
-of as many consecutive item words as make a leak is represented by its rarest term, so each item needs few anchors.
-An anchor's posting at position p, less the term's offset in the item, is the place where the item would begin; at
-these places the offset-adjusted lists of all other terms are intersected. Runs of consecutive offsets are exact
-phrases; places that agree within SLOP words are proximity matches.
-
-Items are searched in blocks of bounded size; the corpus is never shuffled as text, only its postings are.
+The index holds, per term and document, the sorted word positions; only terms of the items are posted. Document
+frequencies are counted first, in fixed-size tables. Every window of as many consecutive item words as make a leak is
+represented by its rarest term, so each item needs few anchors, and over all documents only anchors are posted. An
+anchor's posting at position p, less the term's offset in the item, is the place where the item would begin; at these
+places the offset-adjusted lists of all other terms, posted for the documents that have such a place, are intersected.
+Runs of consecutive offsets are exact phrases; places that agree within SLOP words are proximity matches.
+
+Items are searched in blocks of bounded size. Postings are built where the documents lie; what is shuffled is the
+postings of rare terms and the documents with a place.
 """
 
 from __future__ import annotations
@@ -61,25 +63,46 @@ def positional_index(docs: DataFrame, key: str, text: str, vocabulary: dict[str,
     return spread(rows).mapInArrow(run, "term int, doc long, positions array<int>")
 
 
+def document_frequencies(docs: DataFrame, text: str, vocabulary: dict[str, int]) -> DataFrame:
+    """(term, df) of the words in vocabulary over all documents; each task counts into one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                counts[[k for w in set(_word.findall(body.lower())) if (k := vocabulary.get(w)) is not None]] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["term", "n"])
+
+    rows = spread(docs.where(F.col(text).isNotNull()).select(text))
+    return rows.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
 def _search(docs: DataFrame, key: str, text: str, items: list[tuple[int, list[str]]]) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
     words = spark.createDataFrame([(i, o, vocabulary[w], len(ws)) for i, ws in items for o, w in enumerate(ws)], "item long, off int, term int, size int")
-    index = cut(positional_index(docs, key, text, vocabulary))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    df = document_frequencies(docs, text, vocabulary)
     ranked = words.join(df, "term", "left").fillna(0, ["df"])
     ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, WORDS - 1)
-    anchors = (
+    rarest = (
         ranked.withColumn("rarest", F.min(F.struct("df", "off", "term")).over(ahead))
         .where(F.col("off") + WORDS <= F.col("size"))
         .select("item", F.col("rarest.off").alias("off"), F.col("rarest.term").alias("term"))
         .distinct()
+        .collect()  # some anchors per item of the block
     )
-    places = index.join(anchors, "term").select("item", "doc", F.explode("positions").alias("p"), "off").select("item", "doc", (F.col("p") - F.col("off")).alias("place")).distinct()
+    anchors = spark.createDataFrame(rarest, "item long, off int, term int")
+    anchored = {r.term for r in rarest}
+    index = positional_index(docs, key, text, {w: k for w, k in vocabulary.items() if k in anchored})
+    places = cut(index.join(anchors, "term").select("item", "doc", F.explode("positions").alias("p"), "off").select("item", "doc", (F.col("p") - F.col("off")).alias("place")).distinct())
+    held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    there = held.join(places.select(F.col("doc").alias("_doc")).distinct(), "_doc", "left_semi")
+    lists = positional_index(there, "_doc", "_text", vocabulary)
     near = F.exists("positions", lambda p: F.abs(p - F.col("off") - F.col("place")) <= SLOP)
     hits = (
         places.join(words, "item")
-        .join(index, ["doc", "term"])
+        .join(lists, ["doc", "term"])
         .where(near)
         .groupBy("item", "doc", "place", "size")
         .agg(
