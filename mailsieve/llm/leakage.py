@@ -2,9 +2,10 @@
 
 The index holds, per term and document, the sorted word positions; only terms of the items are posted. Document
 frequencies are counted first, in fixed-size tables. Every window of as many consecutive item words as make a leak is
-represented by its rarest term, so each item needs few anchors, and over all documents only anchors are posted. An
-anchor's posting at position p, less the term's offset in the item, is the place where the item would begin; at these
-places the offset-adjusted lists of all other terms, posted for the documents that have such a place, are intersected.
+represented by its two rarest terms, so each item needs few anchors, and over all documents only anchors are posted. The
+rarest term's posting at position p, less its offset in the item, is a place where the item would begin; the second
+rarest must agree within SLOP, and at the places that are left the offset-adjusted lists of all other terms, posted for
+the documents that have such a place, are intersected.
 Runs of consecutive offsets are exact phrases; places that agree within SLOP words are proximity matches.
 
 Items are searched in blocks of bounded size. Postings are built where the documents lie; what is shuffled is the
@@ -85,17 +86,16 @@ def _search(docs: DataFrame, key: str, text: str, items: list[tuple[int, list[st
     df = document_frequencies(docs, text, vocabulary)
     ranked = words.join(df, "term", "left").fillna(0, ["df"])
     ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, WORDS - 1)
-    rarest = (
-        ranked.withColumn("rarest", F.min(F.struct("df", "off", "term")).over(ahead))
-        .where(F.col("off") + WORDS <= F.col("size"))
-        .select("item", F.col("rarest.off").alias("off"), F.col("rarest.term").alias("term"))
-        .distinct()
-        .collect()  # some anchors per item of the block
-    )
-    anchors = spark.createDataFrame(rarest, "item long, off int, term int")
-    anchored = {r.term for r in rarest}
-    index = positional_index(docs, key, text, {w: k for w, k in vocabulary.items() if k in anchored})
-    places = cut(index.join(anchors, "term").select("item", "doc", F.explode("positions").alias("p"), "off").select("item", "doc", (F.col("p") - F.col("off")).alias("place")).distinct())
+    in_order = F.array_sort(F.collect_list(F.struct("df", "off", "term")).over(ahead))
+    windows = ranked.withColumn("w", in_order).where(F.col("off") + WORDS <= F.col("size"))
+    rarest = windows.select("item", *[F.col("w")[k][f].alias(f"{f}{k}") for k in (0, 1) for f in ("off", "term")]).distinct().collect()  # some per item of the block
+    anchors = spark.createDataFrame(rarest, "item long, off0 int, term0 int, off1 int, term1 int")
+    anchored = {t for r in rarest for t in (r.term0, r.term1)}
+    index = cut(positional_index(docs, key, text, {w: k for w, k in vocabulary.items() if k in anchored}))
+    begun = index.join(anchors, F.col("term") == F.col("term0")).select("item", "doc", "term1", "off1", F.explode("positions").alias("p"), "off0").select("item", "doc", "term1", "off1", (F.col("p") - F.col("off0")).alias("place")).distinct()
+    second = index.select(F.col("doc"), F.col("term").alias("term1"), "positions")
+    agree = F.exists("positions", lambda p: F.abs(p - F.col("off1") - F.col("place")) <= SLOP)
+    places = cut(begun.join(second, ["doc", "term1"]).where(agree).select("item", "doc", "place").distinct())
     held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
     there = held.join(places.select(F.col("doc").alias("_doc")).distinct(), "_doc", "left_semi")
     lists = positional_index(there, "_doc", "_text", vocabulary)
