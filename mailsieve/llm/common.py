@@ -20,9 +20,13 @@ def fan_out(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partitions by the keys (round robin without), at a width that AQE does not merge again."""
-    return df.repartition(fan_out(df.sparkSession), *keys)
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core work where the input is so small that its own partitions would not: rows are dealt out at a
+    width that AQE does not merge again. An input of as many full partitions as that keeps its own, unshuffled."""
+    spark = df.sparkSession
+    full = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= full * fan_out(spark) else df.repartition(fan_out(spark))
 
 
 def one_per_message(df: DataFrame, *columns: str) -> DataFrame:
