@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import one_per_message, spread, table, text_or_empty
 from .encodings import damaged_texts
 from .languages import document_languages
-from .leakage import leaked_items
+from .leakage import leaked_items, leaked_phrases
 from .lookalikes import one_form, same_face
 from .mixture import mix, shares
 from .near_duplicates import group_pairs, near_duplicates
@@ -112,7 +112,7 @@ def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).where("kind = 'phrase'").select("doc_id", "item_id")
+    return leaked_phrases(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,6 +241,33 @@ def test_proximity(spark):
     assert (r.kind, r.longest_run, r.near_words) == ("proximity", 11, 30)
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(40)] + ["the"] * 15
+    items = [(k, [f"name{k}x{j}" if j % 6 == 0 else rng.choice(vocabulary) for j in range(rng.randint(12, 40))]) for k in range(12)]
+    docs = []
+    for k in range(90):
+        source = items[k % 12][1]
+        copy = [f"other{k}" if w.startswith("name") else w for w in source]  # the rarest words, two to a window, were changed
+        for _ in range(rng.randint(0, 5)):
+            copy.insert(rng.randrange(len(copy)), rng.choice(vocabulary))
+        docs.append((k, [rng.choice(vocabulary) for _ in range(20)] + copy + [rng.choice(vocabulary) for _ in range(20)]))
+    want = {}
+    for d, w in docs:
+        for i, ws in items:
+            exact = {(p - o, o) for o, x in enumerate(ws) for p, y in enumerate(w) if x == y}
+            near = max((len({o for q, o in exact if abs(q - place) <= leakage.SLOP}) for place, _ in exact), default=0)
+            run = max((next(n for n in itertools.count() if (place, o + n) not in exact) for place, o in exact), default=0)
+            if run >= 12 or near >= 12 and 10 * near >= 6 * len(ws):
+                want[d, i] = (run, near, "phrase" if run >= 12 else "proximity")
+    table_of = lambda rows, k: table(spark, [(i, " ".join(ws)) for i, ws in rows], f"{k} long, text string")
+    d, i = table_of(docs, "doc_id"), table_of(items, "item_id")
+    got = {(r.doc_id, r.item_id): (r.longest_run, r.near_words, r.kind) for r in leakage.leaked_items(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == want and sum(v[2] == "proximity" for v in want.values()) > 20
+    phrases = {tuple(r) for r in leakage.leaked_phrases(d, "doc_id", "text", i, "item_id", "text").collect()}
+    assert phrases == {k for k, v in want.items() if v[2] == "phrase"}
+
+
 # ---- mixture
 
 
