@@ -340,12 +340,12 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.drained(events.debounced(events.stored(spark, sf_dir, "events"), "user_id", "ts", "event_type", "30 minutes"))
+    return events.drained_to_the_end(events.stored(spark, sf_dir, "events"), "ts", lambda s: events.debounced(s, "user_id", "ts", "event_type", "30 minutes"))
 
 
-@query()
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS began, event_type, count(*) AS events FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.drained(events.windowed(events.stored(spark, sf_dir, "events"), "event_type", "ts", "1 day"))
+    return events.drained_to_the_end(events.stored(spark, sf_dir, "events"), "ts", lambda s: events.windowed(s, "event_type", "ts", "1 day"))
 
 
 @query("SELECT user_id, event_type, 'changed' AS change FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

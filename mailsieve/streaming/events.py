@@ -5,7 +5,7 @@ Event time and watermarks are an extension: late rows count until the watermark
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +61,25 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drained_to_the_end(stream: DataFrame, time: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Like ``drained(operator(stream))`` for an operator with a watermark on ``time``, but windows and sessions that the
+    watermark has not passed when the table ends are written too. When all rows are through, the query goes on from its
+    checkpoint with one row far in the future, which closes all that is open; the window of that row never ends."""
+    spark: SparkSession = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/last")
+    out = operator(stream.unionByName(spark.readStream.schema(stream.schema).parquet(f"{folder}/last")))
+
+    def run() -> None:
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    last = [F.lit("9999-12-01").cast(f.dataType).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*last).write.mode("append").parquet(f"{folder}/last")
+    run()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 def shared_folder(spark: SparkSession) -> str:
     import tempfile
 

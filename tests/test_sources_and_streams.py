@@ -69,6 +69,15 @@ def test_bursts_are_joined(spark, tmp_path):
     assert ("a", "y", 2) in out and ("a", "z", 1) in out  # the last burst stays open until the watermark passes it
 
 
+def test_the_last_windows_and_bursts_are_written(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00", "x"), ("a", "2024-01-01 23:59:59", "y"), ("a", "2024-01-02 00:00:00", "z"), ("b", "2024-01-02 00:00:01", "v"), (None, "2024-01-02 00:00:02", "w"), ("a", None, "u")]
+    stream = stream_of(spark, tmp_path, rows, "k string, t string, v string").withColumn("t", F.to_timestamp("t"))
+    out = sorted(((str(r.began), r.k, r.events) for r in events.drained_to_the_end(stream, "t", lambda s: events.windowed(s, "k", "t", "1 day")).collect()), key=repr)
+    assert out == sorted([("2024-01-01 00:00:00", "a", 2), ("2024-01-02 00:00:00", "a", 1), ("2024-01-02 00:00:00", "b", 1), ("2024-01-02 00:00:00", None, 1)], key=repr)
+    bursts = {(r.k, r.v, r.events) for r in events.drained_to_the_end(stream, "t", lambda s: events.debounced(s, "k", "t", "v", "10 seconds")).collect()}
+    assert bursts == {("a", "x", 1), ("a", "z", 2), ("b", "v", 1), (None, "w", 1)}
+
+
 def test_only_changes_pass(spark, tmp_path):
     stream = stream_of(spark, tmp_path, [("a", "s1", 1), ("a", "s2", 2), ("b", "s1", 1)], "k string, s string, o int")
     assert sorted((r.k, r.s, r.change) for r in events.drained(events.changes(stream, "k", "s", "o")).collect()) == [("a", "s2", "changed"), ("b", "s1", "changed")]
