@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import BOUNDS, CATEGORIES
-from .dialect import DUCK, HOST, KNOWN_TLD
+from .dialect import DUCK, HOST, KNOWN_TLD, SPARK
 from .functions import html, text, url
 from .operators import report, rules, scoring, semantic, triage, trust
 from .operators.brands import brands, claims, near_targets
@@ -320,11 +320,15 @@ def reading_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cloud_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = delivered_once(scan(spark, sf_dir, "messages"), "subject", "body_text")
+    once = delivered_once(scan(spark, sf_dir, "messages"), "sender_name", "sender_email", "reply_to", "subject", "body_text", "attachments")
+    sender, reply = (F.coalesce(F.expr(SPARK.domain(c)), F.lit("")) for c in ("sender_email", "reply_to"))
     domains = link_context(spark, sf_dir).groupBy("msg_id").agg(F.array_sort(F.collect_set("host_registrable")).alias("domains"))
     bag = scoring.bags(spark, sf_dir).select("msg_id", "registrable", F.transform("signals", lambda s: s["id"]).alias("ids"))
     rows = once.join(bag, "msg_id").join(domains, "msg_id", "left")
-    made = semantic.payload(F.col("subject"), F.col("body_text"), F.col("registrable"), F.coalesce("domains", F.array().cast("array<string>")), F.array().cast("array<string>"), F.col("ids"))
+    made = semantic.payload(
+        F.col("subject"), F.col("body_text"), F.col("sender_name"), F.col("registrable"), F.when((reply != "") & (reply != sender), reply),
+        F.coalesce("domains", F.array().cast("array<string>")), semantic.extensions(F.col("attachments")), F.col("ids"),
+    )
     return rows.select("msg_id", F.to_json(made).alias("payload"))
 
 

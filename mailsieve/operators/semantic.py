@@ -20,6 +20,8 @@ DELIMITER = "<<<MESSAGE>>>"
 # What a reading may call a message, and how its risk and confidence count.
 KINDS = "credential_theft payment_fraud malware extortion impersonation advance_fee job_scam spam benign".split()
 LEAST_RISK, LEAST_CONFIDENCE, FULL_SCORE, MEDIUM_RISK, HIGH_RISK, MOST_KINDS = 45, 0.35, 30, 55, 70, 4
+COUNTS = "zero one two three four five".split()
+ROLES = r"(?i)(?<![A-Za-z0-9_])(?:team|support|service|security|admin|notification|alert|help ?desk|no-?reply)(?![A-Za-z0-9_])"
 READING = "risk double, categories array<string>, reasons array<string>, confidence double"
 
 Scorer = Callable[[pd.Series], pd.Series]
@@ -83,12 +85,31 @@ def corroborated(signals: str = "signals") -> Column:
     return F.exists(signals, lambda s: (s["category"] != "llm") & (s["score"] > 0) & ~s["dampened"])
 
 
-def payload(subject: Column, body: Column, sender_domain: Column, domains: Column, extensions: Column, ids: Column) -> Column:
-    """What may leave the engine: addresses reduced to domains, lists distinct and bounded, no names."""
+def name_shape(name: Column) -> Column:
+    """What kind of display name it is, without revealing it: how many words, and what is telling about them."""
+    trimmed = collapse_whitespace(F.coalesce(name, F.lit("")))
+    n = F.size(F.split(trimmed, " "))
+    count = F.concat(F.coalesce(F.get(F.array(*map(F.lit, COUNTS)), n), F.lit("many")), F.when(n == 1, "-word").otherwise("-words"))
+    telling = {"contains-address": "[<>@]", "all-caps": r"^[A-Z\s]{4,}$", "non-ascii": r"[^\x00-\x7F]", "role-account": ROLES}
+    return F.when(trimmed == "", "empty").otherwise(F.concat_ws("-", count, *[F.when(trimmed.rlike(pattern), k) for k, pattern in telling.items()]))
+
+
+def extensions(attachments: Column) -> Column:
+    """The distinct extensions of all attachments, lower-cased; what has none, or one that could be a name, has no part."""
+    visible = lambda a: F.regexp_replace(F.coalesce(a["filename"], F.lit("")), r"\p{Cf}+", "")
+    found = F.transform(F.coalesce(attachments, F.array()), lambda a: F.lower(F.regexp_extract(visible(a), r"(?s)^.+\.([A-Za-z0-9]{1,16})[.\s]*$", 1)))
+    return F.array_distinct(F.filter(found, lambda e: e != ""))
+
+
+def payload(subject: Column, body: Column, sender_name: Column, sender_domain: Column, reply_domain: Column, domains: Column, extensions: Column, ids: Column) -> Column:
+    """What may leave the engine: addresses reduced to domains, names to their shape, lists distinct and bounded.
+    ``reply_domain`` is null where replies go to the sender's own."""
     return F.struct(
         F.substring(redacted_addresses(F.coalesce(subject, F.lit(""))), 1, 300).alias("subject"),
         F.substring(redacted_addresses(F.coalesce(body, F.lit(""))), 1, BOUNDS.prompt_body).alias("excerpt"),
         sender_domain.alias("sender_domain"),
+        name_shape(sender_name).alias("sender_name_shape"),
+        reply_domain.alias("reply_to_domain"),
         F.slice(F.array_distinct(domains), 1, 25).alias("link_domains"),
         F.slice(F.array_distinct(extensions), 1, 15).alias("extensions"),
         F.slice(ids, 1, 40).alias("signal_ids"),

@@ -3,7 +3,9 @@ from email.message import EmailMessage
 
 from pyspark.sql import functions as F
 
+from mailsieve import catalog
 from mailsieve.operators import semantic
+from mailsieve.plans.context import delivered_once
 from mailsieve.sources import mail
 from mailsieve.streaming import events
 
@@ -100,3 +102,20 @@ def test_equal_prompts_are_read_once(spark):
     df = spark.createDataFrame([(k, "verify your password" if k < 9 else None) for k in range(10)], "k int, t string")
     read = semantic.readings(df, "t", "counting").collect()
     assert len(read) == 10 and calls.value == 1 and sum(r.reading is None for r in read) == 1
+
+
+def test_payloads_have_extensions_shapes_and_reply_domains(spark, sf_dir):
+    names = ["", "  Jane  Okonkwo ", "ACME TEAM", "a b c d e f", "J\u00f6rg <x@y.example>", "Helpdesk"]
+    shapes = [r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select(semantic.name_shape(F.col("n")).alias("s")).collect()]
+    assert shapes == ["empty", "two-words", "two-words-all-caps-role-account", "many-words", "two-words-contains-address-non-ascii", "one-word-role-account"]
+    files = [[("a.PDF",), ("b.pdf",), ("c.tar.gz. ",), (".exe",), ("none",), (None,), ("x.e\u200bxe",)], None, [(f"f{k}.x{k}",) for k in range(70)]]
+    found = [r.e for r in spark.createDataFrame([(f,) for f in files], "f array<struct<filename: string>>").select(semantic.extensions(F.col("f")).alias("e")).collect()]
+    assert found[:2] == [["pdf", "gz", "exe"], []] and len(found[2]) == 70
+    made = {r.msg_id: json.loads(r.payload) for r in catalog.QUERIES["cloud_payload"](spark, sf_dir).collect()}
+    spark.catalog.clearCache()
+    stored = delivered_once(spark.read.parquet(f"{sf_dir}/messages.parquet"), "sender_email", "reply_to", "attachments").collect()
+    with_files = {r.msg_id: r.attachments[0].filename.rpartition(".")[2].lower() for r in stored if r.attachments and len(r.attachments) == 1}
+    assert with_files and all(made[k]["extensions"] == [e] for k, e in with_files.items())
+    domain = lambda a: (a or "").rpartition("@")[2].lower()
+    elsewhere = {r.msg_id: domain(r.reply_to) for r in stored if r.reply_to and domain(r.reply_to) != domain(r.sender_email)}
+    assert elsewhere and {k: p["reply_to_domain"] for k, p in made.items() if "reply_to_domain" in p} == elsewhere
