@@ -141,7 +141,7 @@ def fit_on(df: DataFrame, text: str, label: str, sample: int = SAMPLE) -> Model:
     seeds += [(" ".join(s for s, k in seeds if k == language), language) for language in LANGUAGES]
     rows = df.select(F.col(text).alias("t"), declared_language(F.col(label)).alias("k")).where(F.col("k").isin(*LANGUAGES) & (F.length("t") > 0))
     picked = some_rows(rows, sample)
-    listed = [(p[:2_000], r.k) for r in picked for p in paragraphs(r.t)]  # fitting only; scoring reads whole texts
+    listed = [(p, r.k) for r in picked for p in paragraphs(r.t)]
     model = fit(*map(list, zip(*seeds)))
     if not listed:
         return model

@@ -134,6 +134,14 @@ def test_languages_of_documents(spark):
     assert languages.document_languages(df.where("false"), ["id"], "body", "label").count() == 0
 
 
+def test_fitting_sees_whole_paragraphs(spark, monkeypatch):
+    long = " ".join([languages.SEEDS["en"].strip()] * 12)
+    seen, fit = [], languages.fit
+    monkeypatch.setattr(languages, "fit", lambda texts, labels: (seen.extend(texts), fit(texts, labels))[1])
+    languages.fit_on(table(spark, [(long, "en")], "t string, l string"), "t", "l")
+    assert len(long) > 4_000 and long in seen
+
+
 # ---- look-alikes
 
 
