@@ -3,7 +3,7 @@
 A smoothed character trigram model is counted over all clean records. Every token with a non-ASCII character is
 rewritten by every chain "encode as read, decode as written" (up to three steps deep) and the rewriting that the model
 finds likeliest is accepted if its log-likelihood exceeds that of the token as it stands by more than a margin. The
-margin is validated beforehand on clean tokens and on the same tokens damaged on purpose. A replacement character marks
+margin is validated beforehand on all distinct clean tokens and on the same tokens damaged on purpose. A replacement character marks
 a text as damaged that no chain restores.
 """
 
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import some_rows
+from .common import spread
 
 
 # Encodings that text was wrongly read in, and those it was truly written in.
@@ -28,8 +28,8 @@ WRITTEN_IN = ("cp1252", "cp1251", "mac_roman")
 DEPTH = 3
 #: Buckets of the hashed trigram and bigram counts: the size of the model, whatever the corpus.
 TRIGRAMS, BIGRAMS = 1 << 21, 1 << 21
-#: Distinct clean tokens on which the margin is validated, at most.
-VALIDATION = 1_500
+#: The margins that are tried.
+MARGINS = np.arange(1.0, 12.1, 0.25)
 #: The first model has counted damaged records too, so what it finds likelier by this much is left out of the second.
 IN_DOUBT = 2.0
 LOST = "�"
@@ -168,7 +168,7 @@ class Model:
 
 
 def fit(df: DataFrame, text: str) -> Model:
-    """Counts the model over all clean records of df and validates its margin on distinct clean tokens. Clean are, for
+    """Counts the model over all clean records of df and validates its margin on all distinct clean tokens. Clean are, for
     a first model, records without replacement or control characters; for the second those that the first finds whole.
 
     Each task counts into its own fixed tables; what reaches the driver is one number per bucket."""
@@ -210,32 +210,54 @@ def fit(df: DataFrame, text: str) -> Model:
     def clean_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens = {w for t in clean(list(batch["t"]), False) for w in _token.findall(t)}
-            yield pd.DataFrame({"w": sorted(w for w in tokens if len(w) < 40)})
+            yield pd.DataFrame({"w": sorted(tokens)})
 
-    sample = [r.w for r in some_rows(texts.mapInPandas(clean_tokens, "w string").distinct(), VALIDATION)]
-    model.margin = validated_margin(model, sample)
+    margin = validated_margin(model, texts.mapInPandas(clean_tokens, "w string").distinct())
+    model.margin = margin
     model.known.clear()
     return model
 
 
-def validated_margin(model: Model, clean: list[str]) -> float:
-    """Half way between the gains of clean tokens and those of the same tokens damaged by every chain of one step:
-    the margin at which the fewest of both are taken for the other, each kind weighing the same."""
-    broken = []
-    for token in clean:
-        raw = token.encode("utf-8", "ignore")
-        broken += ["".join(_decoded(e).get(b, chr(b)) for b in raw) for e in ("cp1252", "cp437", "mac_roman", "cp1251")]
-        if all(c.isascii() or ord(c) in _ENCODE["cp1252"] for c in token):
-            broken += ["".join(_decoded(e).get(b, chr(b)) for b in token.encode("cp1252", "ignore")) for e in ("cp437", "cp850", "cp1251")]
-    broken = sorted({b for b in broken if not b.isascii()} - set(clean))
-    if not broken:
+def broken(token: str) -> set[str]:
+    """What a clean token becomes by every chain of one step."""
+    raw = token.encode("utf-8", "ignore")
+    out = {"".join(_decoded(e).get(b, chr(b)) for b in raw) for e in ("cp1252", "cp437", "mac_roman", "cp1251")}
+    if all(c.isascii() or ord(c) in _ENCODE["cp1252"] for c in token):
+        out |= {"".join(_decoded(e).get(b, chr(b)) for b in token.encode("cp1252", "ignore")) for e in ("cp437", "cp850", "cp1251")}
+    return {b for b in out if not b.isascii()}
+
+
+def validated_margin(model: Model, clean: DataFrame) -> float:
+    """Half way between the gains of clean tokens (column w) and those of the same tokens damaged by every chain of one
+    step: the margin at which the fewest of both are taken for the other, each kind weighing the same. Gains are found
+    in the tasks; what reaches the driver is how many lie between two margins."""
+
+    def damage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(w, True) for w in batch["w"]] + [(b, False) for w in batch["w"] for b in broken(w)]
+            yield pd.DataFrame(rows, columns=["w", "whole"])
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            model.best(batch["w"])
+            gain = np.array([model.known[w][2] for w in batch["w"]], float)
+            exceeds = np.searchsorted(MARGINS, gain, "left")  # so many margins
+            yield pd.DataFrame({"whole": batch["whole"], "exceeds": exceeds.astype(np.int32)})[np.isfinite(gain)]
+            model.known.clear()
+
+    tokens = spread(clean).mapInPandas(damage, "w string, whole boolean").groupBy("w").agg(F.max("whole").alias("whole"))  # what is also clean is not damaged
+    counts = {True: np.zeros(len(MARGINS) + 1), False: np.zeros(len(MARGINS) + 1)}
+    some = {True: 0, False: 0}
+    for r in spread(tokens).mapInPandas(gains, "whole boolean, exceeds int").groupBy("whole", "exceeds").count().collect():
+        counts[r["whole"]][r["exceeds"]] = r["count"]
+        some[r["whole"]] += r["count"]
+    if not some[False]:
         return model.margin
-    model.best(clean + broken)
-    low, high = (np.sort([model.known[t][2] for t in kind if np.isfinite(model.known[t][2])] or [0.0]) for kind in (clean, broken))
-    margins = np.arange(1.0, 12.1, 0.25)
-    wrong = [(low > m).mean() + (high <= m).mean() for m in margins]
-    best = np.flatnonzero(np.isclose(wrong, min(wrong)))
-    return float(margins[best[len(best) // 2]])
+    taken = 1 - np.cumsum(counts[True])[:-1] / some[True] if some[True] else np.zeros(len(MARGINS))
+    missed = np.cumsum(counts[False])[:-1] / some[False]
+    wrong = taken + missed
+    best = np.flatnonzero(np.isclose(wrong, wrong.min()))
+    return float(MARGINS[best[len(best) // 2]])
 
 
 def damaged_texts(df: DataFrame, keys: list[str], text: str, model: Model | None = None) -> DataFrame:

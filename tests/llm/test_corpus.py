@@ -213,6 +213,22 @@ def test_round_trips(encoding):
         assert token in encodings.rewritings(broken)
 
 
+def test_margin_is_validated_on_all_clean_tokens(spark, monkeypatch):
+    words = [f"caf\u00e9{a}{b}{c}" for a in "abcdefghijklm" for b in "abcdefghijklm" for c in "abcdefghijklm"] + ["\u00fcber" + "lang" * 12]
+    df = table(spark, [(w,) for w in words * 3], "t string")
+    asked, validated = [], encodings.validated_margin
+    monkeypatch.setattr(encodings, "validated_margin", lambda model, clean: (asked.append((model, {r.w for r in clean.collect()})), validated(model, clean))[1])
+    margin = encodings.fit(df, "t").margin
+    (model, clean) = asked[0]
+    assert clean == set(words) and len(clean) == 2_198
+    damaged = {b for w in words for b in encodings.broken(w)} - clean
+    model.best([*clean, *damaged])
+    low, high = ([model.known[w][2] for w in kind if model.known[w][2] > -1e9] for kind in (clean, damaged))
+    wrong = [sum(g > m for g in low) / max(1, len(low)) + sum(g <= m for g in high) / len(high) for m in encodings.MARGINS]
+    best = [m for m, x in zip(encodings.MARGINS, wrong) if abs(x - min(wrong)) < 1e-6]
+    assert margin == best[len(best) // 2]
+
+
 # ---- leakage
 
 
