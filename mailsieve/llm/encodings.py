@@ -1,10 +1,13 @@
 """Text that was decoded with the wrong character encoding: found, and restored where its bytes survive.
 
 A smoothed character trigram model is counted over all clean records. Every token with a non-ASCII character is
-rewritten by every chain "encode as read, decode as written" (up to three steps deep) and the rewriting that the model
-finds likeliest is accepted if its log-likelihood exceeds that of the token as it stands by more than a margin. The
-margin is validated beforehand on all distinct clean tokens and on the same tokens damaged on purpose. A replacement character marks
-a text as damaged that no chain restores.
+rewritten by chains "encode as read, decode as written", and the rewriting that the model finds likeliest is accepted if
+its log-likelihood exceeds that of the token as it stands by more than a margin. The margin is validated beforehand on
+all distinct clean tokens and on the same tokens damaged on purpose. A replacement character marks a text as damaged
+that no chain restores.
+
+Searched are chains of UTF-8 steps from any of READ_AS, up to DEPTH deep, and single steps from any of READ_AS to one of
+WRITTEN_IN. Text truly in another single-byte encoding and chains that mix both kinds of steps are not found.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ def _from_utf8(token: str, encoding: str) -> str:
 
 
 def rewritings(token: str) -> dict[str, str]:
-    """Every different text that some chain makes of a token, with the shortest chain that makes it."""
+    """Every different text that a searched chain makes of a token, with the shortest chain that makes it."""
     found: dict[str, str] = {}
     edge = {token: ""}
     for _ in range(DEPTH):
