@@ -291,11 +291,10 @@ def hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages written out as RFC 822 text from their parsed parts, and read again by the source's parser."""
-    header = lambda k: F.coalesce(F.element_at(F.col("headers"), k)[0], F.lit(""))
-    raw = F.concat(F.lit("From: "), header("from"), F.lit("\nSubject: part\nDate: "), header("date"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.coalesce(F.array_join("text", "\n"), F.lit("")))
-    rows = scan(spark, sf_dir, "parsed_messages").select("parsed_id", mail.parsed(F.encode(raw, "utf-8")).alias("m"))
-    return rows.select("parsed_id", "m.sender_name", "m.sender_email", F.length("m.body_text").alias("chars"), F.size("m.links").alias("links"), "m.sent_at")
+    """Messages written out as multipart RFC 822 messages of all their parsed parts, and read again by the source's parser."""
+    raw = mail.written(F.col("headers"), F.col("text"), F.col("html"), F.col("attachments"))
+    rows = scan(spark, sf_dir, "parsed_messages").select("parsed_id", mail.parsed(raw).alias("m"))
+    return rows.select("parsed_id", "m.sender_name", "m.sender_email", F.length("m.body_text").alias("chars"), F.size("m.links").alias("links"), F.size("m.attachments").alias("attachments"), "m.sent_at")
 
 
 # ---- model stage

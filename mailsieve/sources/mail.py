@@ -5,10 +5,14 @@ into messages by the reader itself, so one large file is read by many tasks."""
 
 from __future__ import annotations
 
+import base64
 import email
 import email.policy
+import hashlib
+import quopri
 import re
 from email.message import EmailMessage
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -106,6 +110,32 @@ def message_of(raw: bytes | str | None) -> dict:
     }
 
 
+def written(headers: Column, text: Column, html: Column, attachments: Column) -> Column:
+    """RFC 822 messages of parsed parts: each text, page and named attachment a part of its own, in turn as 8bit, quoted
+    printable and base64; headers as they are, but for those that describe the one body there was."""
+
+    @F.pandas_udf("binary")
+    def apply(headers: pd.Series, text: pd.Series, html: pd.Series, attachments: pd.Series) -> pd.Series:
+        return pd.Series([_written(dict(h) if h is not None else {}, *([] if x is None else list(x) for x in (t, p, a))) for h, t, p, a in zip(headers, text, html, attachments)])
+
+    return apply(headers, text, html, attachments)
+
+
+def _written(headers: dict, text: list, html: list, attachments: list) -> bytes:
+    lines = [f"{k}: {re.sub(r'[\r\n]+', ' ', v)}" for k, vs in headers.items() if k.lower() not in ("content-type", "content-transfer-encoding", "mime-version") for v in (() if vs is None else vs) if v is not None]
+    parts = [(x, "text/plain", None) for x in text if x is not None] + [(x, "text/html", None) for x in html if x is not None] + [(f"content of {x}", "application/octet-stream", x) for x in attachments if x is not None]
+    bodies = []
+    for k, (content, kind, name) in enumerate(parts):
+        raw = content.encode("utf-8", "replace")
+        how = ("8bit", "quoted-printable", "base64")[k % 3] if name is None else "base64"
+        coded = raw if how == "8bit" else quopri.encodestring(raw) if how == "quoted-printable" else base64.encodebytes(raw)
+        file = "" if name is None else f"\nContent-Disposition: attachment; filename*=utf-8''{quote(name, safe='')}"
+        bodies.append(f"Content-Type: {kind}; charset=utf-8\nContent-Transfer-Encoding: {how}{file}\n\n".encode() + coded)
+    edge = "part-" + hashlib.sha256(b"".join(bodies)).hexdigest()[:32]
+    head = "\n".join([*lines, "MIME-Version: 1.0", f'Content-Type: multipart/mixed; boundary="{edge}"', "", ""]).encode("utf-8", "replace")
+    return head + b"".join(f"--{edge}\n".encode() + b + b"\n" for b in bodies) + f"--{edge}--\n".encode()
+
+
 def parsed(c: Column) -> Column:
     """struct of PARSED of a binary or text column of RFC 822 messages."""
 

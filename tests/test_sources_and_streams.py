@@ -54,6 +54,18 @@ def test_csv_and_fixtures(spark, tmp_path):
     assert (r.name, r.sender_email, r.subject, r.links[0].href, r.auth) == ("n", "a@b.example", "a b", "h", None)
 
 
+def test_parsed_parts_are_written_and_read_again(spark, sf_dir):
+    got = {r.parsed_id: r for r in catalog.QUERIES["mime_parse"](spark, sf_dir).collect()}
+    stored = spark.read.parquet(f"{sf_dir}/parsed_messages.parquet").collect()
+    assert any(r.attachments for r in stored) and any(r.html for r in stored)
+    assert all(got[r.parsed_id].attachments == len(r.attachments or []) for r in stored)
+    linked = [r for r in stored if r.html and "<a href=" in r.html[0]]
+    assert linked and all(got[r.parsed_id].links > 0 for r in linked)
+    raw = mail._written({"from": ["A <a@b.example>"]}, ["Gr\u00fc\u00dfe \u20ac", "caf\u00e9 = b", "\u041f\u0440\u0438\u0432\u0435\u0442"], [], ["\u00fc \"x\".pdf"])
+    r = mail.message_of(raw)
+    assert (r["sender_email"], r["body_text"].split("\n"), r["attachments"]) == ("a@b.example", ["Gr\u00fc\u00dfe \u20ac", "caf\u00e9 = b", "\u041f\u0440\u0438\u0432\u0435\u0442"], [{"filename": "\u00fc \"x\".pdf"}])
+
+
 def stream_of(spark, tmp_path, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     return spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
