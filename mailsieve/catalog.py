@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import BOUNDS, CATEGORIES
-from .dialect import DUCK, HOST, KNOWN_TLD, SPARK
+from .dialect import DUCK, HOST, SPARK
 from .functions import html, text, url
 from .operators import report, rules, scoring, semantic, triage, trust
 from .operators.brands import brands, claims, near_targets
 from .plans.context import delivered_once, distinct_links, link_context, message_context, scan
-from .refdata import FREEMAIL, GENERIC_TLDS, OPEN_HOSTING
+from .refdata import FREEMAIL, OPEN_HOSTING
 from .sources import mail
 from .streaming import events
+from .suffixes import delegated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,10 +177,10 @@ def sender_freemail_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return message_context(spark, sf_dir).select("msg_id", "registrable").join(_dimension(spark, "registrable", FREEMAIL), "registrable", "left_semi").select("msg_id", "registrable")
 
 
-@query(f"{_ctx} SELECT tld, count(*) AS messages FROM (SELECT regexp_extract(sender_domain, '([^.]+)$', 1) AS tld FROM ctx WHERE sender_domain <> '') WHERE NOT regexp_matches('.' || tld, '{KNOWN_TLD}') GROUP BY tld")
+@query(f"{_ctx} SELECT tld, count(*) AS messages FROM (SELECT regexp_extract(sender_domain, '([^.]+)$', 1) AS tld FROM ctx WHERE sender_domain <> '') WHERE NOT {DUCK.delegated('tld')} GROUP BY tld")
 def unknown_tld_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     tlds = message_context(spark, sf_dir).where("sender_domain <> ''").select(F.regexp_extract("sender_domain", r"([^.]+)$", 1).alias("tld")).groupBy("tld").agg(F.count("*").alias("messages"))
-    return tlds.join(_dimension(spark, "tld", GENERIC_TLDS), "tld", "left_anti").where(~F.col("tld").rlike("^([a-z]{2}|xn--[a-z0-9-]+)$"))
+    return tlds.join(_dimension(spark, "tld", list(delegated())), "tld", "left_anti").where("NOT startswith(tld, 'xn--')")
 
 
 @query(_brands + " SELECT msg_id, claim_id, claim_domain FROM claim")
@@ -253,10 +254,26 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("msg_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"), F.count_if(F.col("text").isNull()).alias("silent"), F.count_if(~F.col("normalized_domain").eqNullSafe(url.host("href"))).alias("disagree"))
 
 
-@query()
+#: Wrapped forms of an address as SQL, and how many redirects each has.
+WRAPPED = {
+    "plain": ("href", 0),
+    "parameter": ("'https://go.hopper.test/r?id=7&url=' || url_encode(href)", 1),
+    "listed_first": ("'https://go.hopper.test/r?link=https%3A%2F%2Fother.test%2F&u=' || url_encode(href)", 1),
+    "twice": ("'https://go.hopper.test/r?next=' || url_encode('https://two.hopper.test/?dest=' || url_encode(href))", 2),
+    "path": ("'https://t.hopper.test/L0/' || href", 1),
+    "base64": ("'https://t.hopper.test/c/' || regexp_replace(replace(replace(base64(CAST(href AS {blob})), '+', '-'), '/', '_'), '=+$', '') || '/x'", 1),
+    "withheld": ("'https://go.hopper.test/r?redirect=https%3A%2F%2F'", 0),
+}
+_forms = " UNION ALL ".join(f"SELECT '{k}' AS form, href, {hops} AS hops, {repr(k == 'withheld').lower()} AS opaque, CASE WHEN '{k}' = 'withheld' THEN {made} ELSE href END AS destination FROM plain" for k, (made, hops) in WRAPPED.items() if "{blob}" not in made)
+_forms += " UNION ALL SELECT 'base64', href, 1, false, href FROM plain"
+
+
+@query(f"WITH plain AS (SELECT DISTINCT href FROM message_links WHERE regexp_matches(href, '^https?://[!-~]+$')) {_forms}")
 def redirect_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hrefs = distinct_links(scan(spark, sf_dir, "message_links")).where("href IS NOT NULL").select("href").distinct()
-    return hrefs.select("href", url.unwrapped(F.col("href")).alias("u")).select("href", "u.*").where("hops > 0 OR opaque")
+    """Every web address as it stands and wrapped in redirects of each kind, peeled again: the address itself comes out."""
+    hrefs = scan(spark, sf_dir, "message_links").where(F.col("href").rlike("^https?://[!-~]+$")).select("href").distinct()
+    made = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.expr(v.format(blob="BINARY")).alias("made")) for k, (v, _) in WRAPPED.items()]))
+    return url.unwrapped(hrefs.select("href", made.alias("f")).select("href", "f.*"), "made").select("form", "href", "hops", "opaque", "destination")
 
 
 # ---- text forms

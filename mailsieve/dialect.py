@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from .refdata import GENERIC_TLDS, MULTI_SUFFIXES
+from collections.abc import Callable
+
+from .refdata import MULTI_SUFFIXES
+from .suffixes import delegated
 
 HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}(?:[^/?#@]*@)?([^/?#:]+)"
 _suffixes = "|".join(s.replace(".", r"\.") for s in MULTI_SUFFIXES)
 REGISTRABLE = rf"([^.]+\.(?:{_suffixes})|[^.]+\.[^.]+)$"
 IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 PRIVATE_IPV4 = r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.)"
-KNOWN_TLD = rf"\.([a-z]{{2}}|xn--[a-z0-9-]+|{'|'.join(GENERIC_TLDS)})$"
 
 
 class Dialect:
@@ -43,7 +45,38 @@ class Dialect:
     def count(self, column: str, pattern: str) -> str:
         raise NotImplementedError
 
+    def starts(self, text: str, beginning: str) -> str:
+        raise NotImplementedError
+
+    def decoded(self, text: str) -> str:
+        """Percent-decoded; what is not well formed is null or as it was."""
+        raise NotImplementedError
+
+    def from_base64(self, text: str) -> str:
+        """The text that base64, in either alphabet and without padding, stands for; null if it stands for none."""
+        raise NotImplementedError
+
+    def parameter(self, query: str, names: list[str], read: Callable[[str], str]) -> str:
+        """What ``read`` makes of the value of the first listed parameter of which it makes something."""
+        raise NotImplementedError
+
     # the same in both, given the above
+    def head(self, text: str, most: int | None) -> str:
+        """The first characters of a text, all of them if ``most`` is None."""
+        return text if most is None else f"substring({text}, 1, {most})"
+
+    def padded(self, text: str) -> str:
+        plain = f"translate({text}, '-_', '+/')"
+        return f"rpad({plain}, {self.whole(f'ceil(length({text}) / 4.0) * 4')}, '=')"
+
+    def whole(self, number: str) -> str:
+        return f"CAST({number} AS INT)"
+
+    def delegated(self, host: str) -> str:
+        """Whether a host's last label is a delegated or reserved top-level domain."""
+        label = self.extract(host, r"([^.]+)$")
+        return f"({self.match(label, '^(xn--[a-z0-9-]+)$')} OR {self.one_of(label, delegated())})"
+
     def words(self, column: str) -> str:
         """Lower-cased words apart by single spaces, a space at either end."""
         return f"concat(' ', trim({self.replace(f'lower({column})', r'[^\p{L}\p{M}\p{N}]+', ' ')}), ' ')"
@@ -83,6 +116,21 @@ class Spark(Dialect):
     def count(self, column: str, pattern: str) -> str:
         return f"regexp_count({column}, {self.literal(pattern)})"
 
+    def starts(self, text: str, beginning: str) -> str:
+        return f"startswith({text}, {self.literal(beginning)})"
+
+    def decoded(self, text: str) -> str:
+        return f"try_url_decode(replace({text}, '+', '%2B'))"
+
+    def from_base64(self, text: str) -> str:
+        return f"CAST(try_to_binary({self.padded(text)}, 'base64') AS STRING)"
+
+    def parameter(self, query: str, names: list[str], read: Callable[[str], str]) -> str:
+        at = f"array_position({self.strings(names)}, lower(substring_index(p, '=', 1)))"
+        value = "substring(p, instr(p, '=') + 1)"
+        each = f"transform(split({query}, '&'), (p, i) -> named_struct('rank', {at}, 'at', i, 'value', {read(value)}))"
+        return f"array_min(filter({each}, x -> x.rank > 0 AND x.value IS NOT NULL)).value"
+
 
 class Duck(Dialect):
     def match(self, column: str, pattern: str) -> str:
@@ -106,5 +154,19 @@ class Duck(Dialect):
     def count(self, column: str, pattern: str) -> str:
         return f"len(regexp_extract_all({column}, {self.literal(pattern)}))"
 
+    def starts(self, text: str, beginning: str) -> str:
+        return f"starts_with({text}, {self.literal(beginning)})"
+
+    def decoded(self, text: str) -> str:
+        return f"url_decode({text})"
+
+    def from_base64(self, text: str) -> str:
+        return f"TRY(decode(from_base64({self.padded(text)})))"
+
+    def parameter(self, query: str, names: list[str], read: Callable[[str], str]) -> str:
+        at = f"list_position({self.strings(names)}, lower(split_part(p, '=', 1)))"
+        each = f"[{{'rank': {at}, 'at': i, 'value': {read('substring(p, instr(p, chr(61)) + 1)')}}} for p, i in string_split({query}, '&')]"
+        return f"list_sort(list_filter({each}, lambda x: x.rank > 0 AND x.value IS NOT NULL))[1].value"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -1,18 +1,12 @@
-"""URL functions. Splitting is done by expressions; only unwrapping redirects, which is a loop, is an Arrow UDF."""
+"""URL functions, all of them expressions: splitting, kinds of hosts and schemes, and the peeling of redirects."""
 
 from __future__ import annotations
 
-import base64
-import binascii
-import re
-from urllib.parse import parse_qs, unquote, urlsplit
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import BOUNDS
-from ..dialect import IPV4, KNOWN_TLD, PRIVATE_IPV4, SPARK
+from ..dialect import IPV4, PRIVATE_IPV4, SPARK, Dialect
 from ..refdata import DANGEROUS_SCHEMES, OTHER_SCHEMES, REDIRECT_PARAMETERS, WEB_SCHEMES
 
 
@@ -45,73 +39,71 @@ def is_malformed(c: Column) -> Column:
     return ~is_ip(c) & ((c == "") | ~c.contains(".") | (F.length(c) > 253) | c.rlike(r"(^|\.)(-[^.]*|[^.]*-|[^.]{64,})?(\.|$)") | ~c.rlike(r"\.([a-z]{2,63}|xn--[a-z0-9-]+)$"))
 
 
-def unknown_tld(c: Column) -> Column:
-    return c.rlike(r"^[\x00-\x7F]+\.[a-z0-9-]+$") & ~c.rlike(KNOWN_TLD) & ~is_ip(c)
+def unknown_tld(c: str) -> Column:
+    """Whether the ASCII host in a named column ends in a label that is not delegated."""
+    return F.expr(SPARK.match(c, r"^[\x00-\x7F]+\.[a-z0-9-]+$")) & ~F.expr(SPARK.delegated(c)) & ~is_ip(F.col(c))
 
 
 def scheme_class(scheme: Column) -> Column:
     return F.when(scheme.isin(WEB_SCHEMES), "web").when(scheme.isin(DANGEROUS_SCHEMES), "dangerous").when(scheme.isin(OTHER_SCHEMES), "other").when(scheme == "", "none").otherwise("unknown")
 
 
-_url_like = re.compile(r"^(?:https?:)?//|^https?%3a", re.I)
-_embedded = re.compile(r"https?:(?://|%2f%2f)[^\s\"'<>]+", re.I)
-_base64 = re.compile(r"(?<![A-Za-z0-9+_-])aHR0c[A-Za-z0-9+_-]{8,2048}(?:=|%3[dD]){0,2}")
-
-
-def _parsed(url: str):
-    try:
-        parts = urlsplit(url)
-    except ValueError:
-        return None
-    return parts if parts.scheme in WEB_SCHEMES and parts.hostname else None
-
-
-def _target(url: str) -> tuple[str | None, bool]:
-    """What a URL redirects to, and whether it conceals it."""
-    parts = _parsed(url)
-    if parts is None:
-        return None, False
-    values = {k: v[0] for k, v in reversed(list(parse_qs(parts.query, keep_blank_values=True).items()))}
-    opaque = False
-    for name in REDIRECT_PARAMETERS:
-        value = values.get(name, "")
-        if _url_like.match(value):
-            full = f"https:{value}" if value.startswith("//") else value
-            for candidate in (full, unquote(full)):
-                if _parsed(candidate):
-                    return candidate, False
-            opaque = True
-    if (m := _embedded.search(parts.path[1:])) and _parsed(unquote(m[0])):
-        return unquote(m[0]), False
-    if m := _base64.search(f"{parts.path}?{parts.query}"):
-        body = re.sub(r"(?:=|%3[dD])+$", "", m[0]).replace("-", "+").replace("_", "/")
-        try:
-            decoded = base64.b64decode(body + "=" * (-len(body) % 4)).decode("ascii")
-        except (binascii.Error, ValueError):
-            decoded = ""
-        if _parsed(decoded):
-            return decoded, False
-    return None, opaque
-
-
-def unwrapped_of(url: str) -> dict:
-    chain, opaque = [url], False
-    while len(chain) <= BOUNDS.hops:
-        target, opaque = _target(chain[-1])
-        if target is None:
-            break
-        chain.append(target)
-    hosts = [re.sub(r"^www\.", "", (_parsed(u).hostname or "").rstrip(".")) if _parsed(u) else "" for u in chain]
-    return {"destination": chain[-1], "hops": len(chain) - 1, "hosts": hosts, "opaque": opaque}
-
-
-def unwrapped(c: Column) -> Column:
-    """struct(destination, hops, hosts, opaque): up to three redirects peeled off a URL."""
-
-    @F.pandas_udf("destination string, hops int, hosts array<string>, opaque boolean")
-    def apply(urls: pd.Series) -> pd.DataFrame:
-        known = {u: unwrapped_of(u) for u in urls.dropna().unique()}
-        empty = {"destination": None, "hops": None, "hosts": None, "opaque": None}
-        return pd.DataFrame([known.get(u, empty) for u in urls], columns=list(empty))
-
-    return apply(c)
+# ---- redirects
+
+#: What a URL must hold somewhere behind its host if it is to redirect: the begin of another one, encoded or not.
+CARRIES = r"(?i)[=/](https?(:|%(25)*3a)|[/\\]{2}|%(25)*2f)|aHR0c"
+#: A web address with a host.
+ADDRESS = r"^(?i:https?):[/\\]{2}(?:[^/?#@\s]*@)?[^/?#:@\s]+"
+#: A parameter's value that begins as an address does, whether or not it is one.
+BEGINS = r"^(?i:(https?(:|%3a)|//|%2f%2f))"
+#: Times that a value may have been percent-encoded.
+ENCODED = 3
+
+
+def settled(q: Dialect, value: str) -> str:
+    """The first percent-decoding of a value, itself included, that reads as a web address; null if none does."""
+    cases = []
+    for _ in range(ENCODED + 1):
+        whole = f"CASE WHEN {q.starts(value, '//')} THEN concat('https:', {value}) ELSE {value} END"
+        cases.append(f"WHEN {q.match(whole, ADDRESS)} THEN {whole}")
+        value = q.decoded(value)
+    return f"CASE {' '.join(cases)} END"
+
+
+def behind(q: Dialect, url: str) -> str:
+    """Where the URL in a column redirects to: the value of a listed parameter, the first of the list before others; an
+    address within the path; or one that stands there in base64. Null if it redirects nowhere."""
+    path, query = q.extract(url, r"^[^:]*:[/\\]{2}[^/?#]*([^?#]*)"), q.extract(url, r"[?]([^#]*)")
+    inside = q.extract(path, r"(?i)/(https?(?::|%(?:25)*3a)(?:[/\\]|%(?:25)*2f).*)$")
+    packed = q.extract(f"concat({path}, '?', {query})", r"(?:^|[^A-Za-z0-9+_-])(aHR0c[A-Za-z0-9+_-]{7,})")
+    found = f"coalesce({q.parameter(query, REDIRECT_PARAMETERS, lambda v: settled(q, v))}, {settled(q, inside)}, {settled(q, q.from_base64(packed))})"
+    return f"CASE WHEN {q.match(url, CARRIES)} THEN {found} END"
+
+
+def withheld(q: Dialect, url: str) -> str:
+    """Whether a listed parameter's value begins as an address, though nothing behind the URL can be read."""
+    query = q.extract(url, r"[?]([^#]*)")
+    shown = q.parameter(query, REDIRECT_PARAMETERS, lambda v: f"CASE WHEN {q.match(v, BEGINS)} THEN {v} END")
+    return f"CASE WHEN {q.match(url, CARRIES)} THEN {shown} IS NOT NULL ELSE false END"
+
+
+def hop_steps(q: Dialect) -> list[dict[str, str]]:
+    """Columns to be added one step after another to rows with ``url``: hop1 and so on, null from where it ends, then
+    ``destination``, ``hops`` and ``opaque``."""
+    names = ["url", *(f"hop{k}" for k in range(1, BOUNDS.hops + 1))]
+    steps = [{to: behind(q, of)} for of, to in zip(names, names[1:])]
+    count = " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE 1 END" for n in names[1:])
+    last = {"destination": f"coalesce({', '.join(reversed(names))})", "hops": count}
+    return [*steps, last, {"opaque": withheld(q, "destination") + f" AND hops < {BOUNDS.hops}"}]
+
+
+def unwrapped(df: DataFrame, column: str) -> DataFrame:
+    """df with destination, hops, hosts (entry first) and opaque: up to three redirects peeled off the URL in ``column``.
+    A null URL has null destination and no hosts. Columns hop1 to hop3 and url must not be there."""
+    out = df.withColumn("url", F.col(column))
+    for step in hop_steps(SPARK):
+        out = out.select("*", *[F.expr(v).alias(k) for k, v in step.items()])
+    names = ["url", *(f"hop{k}" for k in range(1, BOUNDS.hops + 1))]
+    hosts = F.array_compact(F.array(*[F.nullif(host(n), F.lit("")) for n in names]))
+    kept = [c for c in df.columns if c != "url"] + (["url"] if column == "url" else [])
+    return out.select(*kept, "destination", "hops", hosts.alias("hosts"), "opaque")

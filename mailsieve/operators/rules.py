@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from ..config import BOUNDS
-from ..dialect import IPV4, KNOWN_TLD, PRIVATE_IPV4, Dialect
+from ..dialect import IPV4, PRIVATE_IPV4, Dialect
 from ..refdata import (
     ACTION_SUBJECT,
     ARCHIVE,
@@ -72,7 +72,7 @@ def identity(q: Dialect) -> list[Rule]:
     outside = "recipient_registrable <> '' AND recipient_registrable <> registrable"
     reply = "reply_registrable <> '' AND registrable <> '' AND reply_registrable <> registrable"
     tld = q.extract("sender_domain", r"([^.]+)$")
-    known = q.match("sender_domain", KNOWN_TLD)
+    known = q.delegated("sender_domain")
     ip = q.match("sender_domain", IPV4)
     odd = f"sender_domain <> '' AND ({q.match('sender_domain', r'[^a-z0-9.-]')} OR sender_domain NOT LIKE '%.%')"
     deep = "length(sender_domain) - length(replace(sender_domain, '.', '')) - (length(registrable) - length(replace(registrable, '.', ''))) > 4"

@@ -9,8 +9,8 @@ MULTI_SUFFIXES = (
     "com.pe com.ve com.ec co.in net.in org.in gov.in ac.in co.za org.za gov.za com.cn net.cn org.cn gov.cn com.hk com.tw com.sg com.my com.ph com.vn co.id or.id co.th in.th co.kr or.kr com.tr gov.tr "
     "co.il org.il com.ua com.pl net.pl org.pl com.pt com.es com.gr com.ro com.eg com.sa com.ng co.ke com.gh com.pk com.bd com.np com.lk"
 ).split()
-# Top-level domains of more than two letters in wide use, and reserved ones; two-letter codes are countries.
-GENERIC_TLDS = "com net org info biz edu gov mil int arpa name pro mobi app dev page cloud online site store shop tech xyz top club blog live news world today email agency zip mov example test invalid localhost".split()
+# Top-level domains in wide use, for where no list of suffixes is found, and reserved ones.
+WIDE_TLDS = "com net org info biz edu gov mil int arpa name pro mobi app dev page cloud online site store shop tech xyz top club blog live news world today email agency zip mov".split()
 PRIVATE_TLDS = "test example invalid localhost local internal lan home corp onion".split()
 # Providers of free and of throwaway mailboxes.
 FREEMAIL = "gmail.com googlemail.com outlook.com hotmail.com live.com msn.com yahoo.com yahoo.co.uk yahoo.fr ymail.com aol.com icloud.com me.com mac.com proton.me protonmail.com gmx.com gmx.de gmx.net web.de t-online.de mail.com zoho.com yandex.com yandex.ru mail.ru orange.fr laposte.net free.fr libero.it virgilio.it uol.com.br terra.com.br rediffmail.com qq.com 163.com 126.com fastmail.com tutanota.com".split()

@@ -58,7 +58,8 @@ def test_hosts(spark):
     assert one(spark, "8.8.8.8", url.is_private_ip(F.col("c"))) is False
     assert one(spark, "-bad.example", url.is_malformed(F.col("c"))) is True
     assert one(spark, "ok.example", url.is_malformed(F.col("c"))) is False
-    assert one(spark, "x.notatld", url.unknown_tld(F.col("c"))) is True
+    assert one(spark, "x.notatld", url.unknown_tld("c")) is True
+    assert one(spark, "honest.bank", url.unknown_tld("c")) is False
 
 
 @pytest.mark.parametrize(
@@ -70,12 +71,34 @@ def test_hosts(spark):
         ("https://s.example/?q=invoice", ["s.example"]),
     ],
 )
-def test_redirects(link, hosts):
-    assert url.unwrapped_of(link)["hosts"] == hosts
+def test_redirects(spark, link, hosts):
+    assert url.unwrapped(spark.createDataFrame([(link,)], "u string"), "u").first()["hosts"] == hosts
 
 
-def test_opaque_redirect():
-    assert url.unwrapped_of("https://s.example/?url=https%3A%2F%2F")["opaque"] is True
+def test_odd_redirects(spark):
+    links = [("https://s.example/?url=https%3A%2F%2F",), (None,), ("",), ("mailto:a@b.example",), ("https://a.example/?u=%zz&next=//b.example/x",), ("https://a.example/?url=https://b.example/?url=https://c.example/?url=https://d.example/?url=https://e.example/",)]
+    got = url.unwrapped(spark.createDataFrame(links, "u string"), "u").collect()
+    assert [(r.hops, r.opaque, r.hosts) for r in got[:5]] == [(0, True, ["s.example"]), (0, False, []), (0, False, []), (0, False, []), (1, False, ["a.example", "b.example"])]
+    assert got[5].hosts == ["a.example", "b.example", "c.example", "d.example"] and not got[5].opaque
+
+
+STYLES = {
+    "display: none !important": "display:none", "DISPLAY:NONE": "display:none", "visibility: collapse": "visibility:hidden", "opacity:.02": "opacity:0", "opacity: 4%": "opacity:0", "opacity:0.5": None, "opacity: 50%": None,
+    "font-size:0": "font-size:0", "font-size: 1.5pt": "font-size:0", "font-size:0.1em": "font-size:0", "font-size:3px": None, "font-size:large": None, "height:0": None, "height:0;overflow:hidden": "height:0", "max-height:0px; overflow-y: clip": "height:0",
+    "width: 0em; overflow:hidden": "width:0", "height:10px;overflow:hidden": None, "clip: rect(0, 0, 0, 0)": "clipped", "clip:rect(0 0 1px 1px)": None, "clip-path: inset(50%)": "clipped", "clip-path:inset(5%)": None, "text-indent:-9999px": "moved off screen",
+    "margin-left:-20px": None, "left: -120em": "moved off screen", "color:red": None, "": None, "display:none;display:block": None, "opacity:0 /* x */": "opacity:0",
+}
+
+
+@pytest.mark.parametrize("style", list(STYLES))
+def test_concealment(style):
+    assert html.concealment(html.declared(style)) == STYLES[style]
+
+
+def test_choices_among_nodes(spark):
+    df = spark.createDataFrame([("", "b", [(1, 9), (2, 3), (10, 12)], [(10, 12), (4, 20)])], "x string, y string, a array<struct<begin: int, end: int>>, b array<struct<begin: int, end: int>>")
+    r = df.select(html.first_answer(F.col("x"), F.col("y")), html.first_nonempty(F.array(), F.col("a")), html.in_order(F.col("a"), F.col("b")), html.outermost(F.col("a"))).first()
+    assert r[0] == "b" and len(r[1]) == 3 and [tuple(n) for n in r[2]] == [(1, 9), (2, 3), (4, 20), (10, 12)] and [tuple(n) for n in r[3]] == [(1, 9), (10, 12)]
 
 
 def test_pages():
@@ -91,7 +114,6 @@ def test_pages():
 def test_hostile_inputs_end_soon():
     began = time.perf_counter()
     html.page_of("<div>" * 3_000 + "x")
-    url.unwrapped_of("https://a.example/?u=" + "https%3A//" * 2_000)
     for _ in range(200):
         text.edit_distance("a" * 253, "b" * 253)
     assert time.perf_counter() - began < 10
