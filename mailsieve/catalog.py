@@ -261,7 +261,7 @@ WRAPPED = {
     "listed_first": ("'https://go.hopper.test/r?link=https%3A%2F%2Fother.test%2F&u=' || url_encode(href)", 1),
     "twice": ("'https://go.hopper.test/r?next=' || url_encode('https://two.hopper.test/?dest=' || url_encode(href))", 2),
     "path": ("'https://t.hopper.test/L0/' || href", 1),
-    "base64": ("'https://t.hopper.test/c/' || regexp_replace(replace(replace(base64(CAST(href AS {blob})), '+', '-'), '/', '_'), '=+$', '') || '/x'", 1),
+    "base64": ("'https://t.hopper.test/c/' || regexp_replace(replace(replace(base64(CAST(href AS {blob})), '+', '-'), '/', '_'), '[^A-Za-z0-9_-]', '') || '/x'", 1),
     "withheld": ("'https://go.hopper.test/r?redirect=https%3A%2F%2F'", 0),
 }
 _forms = " UNION ALL ".join(f"SELECT '{k}' AS form, href, {hops} AS hops, {repr(k == 'withheld').lower()} AS opaque, CASE WHEN '{k}' = 'withheld' THEN {made} ELSE href END AS destination FROM plain" for k, (made, hops) in WRAPPED.items() if "{blob}" not in made)
