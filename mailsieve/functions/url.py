@@ -74,7 +74,7 @@ def behind(q: Dialect, url: str) -> str:
     """Where the URL in a column redirects to: the value of a listed parameter, the first of the list before others; an
     address within the path; or one that stands there in base64. Null if it redirects nowhere."""
     path, query = q.extract(url, r"^[^:]*:[/\\]{2}[^/?#]*([^?#]*)"), q.extract(url, r"[?]([^#]*)")
-    inside = q.extract(path, r"(?i)/(https?(?::|%(?:25)*3a)(?:[/\\]|%(?:25)*2f).*)$")
+    inside = q.extract(url, r"(?i)^[^:]*:[/\\]{2}[^/?#]*(?:/[^?#]*?)?/(https?(?::|%(?:25)*3a)(?:[/\\]|%(?:25)*2f)[^#]*)")
     packed = q.extract(f"concat({path}, '?', {query})", r"(?:^|[^A-Za-z0-9+_-])(aHR0c[A-Za-z0-9+_-]{7,})")
     found = f"coalesce({q.parameter(query, REDIRECT_PARAMETERS, lambda v: settled(q, v))}, {settled(q, inside)}, {settled(q, q.from_base64(packed))})"
     return f"CASE WHEN {q.match(url, CARRIES)} THEN {found} END"
