@@ -1,10 +1,12 @@
 """Personal information in free text: a linear-chain conditional random field, decoded by Viterbi in numpy batches.
 
 Features are word shapes, affixes, a few word lists and the words of the small labelled table itself, of the token and
-of its two neighbours on each side, and whether a token starts a line or recurs in a mail address of the same text.
-All features of a token type are summed once into its emission scores at the five window positions, so decoding a
-token costs five table rows. Spans are then checked against the form of their kind, which trims them to whole values.
-"""
+of its two neighbours on each side; and, of the token and its two next neighbours, marks that depend on the text: line
+ends, forms of values (where a run of characters that could be a mail address, a phone number and so on begins, goes on
+and has ended), cues nearby, and words that the text itself shows to be names. All features of a token type are summed once into
+its emission scores at the five window positions, so decoding a token costs five table rows and one small product.
+
+The spans are those of the best path; what is not part of a value is left out by the labels that the table gives."""
 
 from __future__ import annotations
 
@@ -19,33 +21,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread
-from .personal_table import DAYS, GIVEN, MONTHS, TRADES, labelled
+from .personal_table import DAYS, FIRM_NOUNS, GIVEN, MONTHS, labelled
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Mails in the labelled table, passes of training.
-TABLE, STEPS = 900, 70
+TABLE, STEPS = 1_000, 60
+#: Tokens that lie in one sequence in training, about.
+STRETCH = 64
+#: Weight of the squared weights in training.
+PENALTY = 1e-4
+#: A word of the table counts as known from so many places on.
+KNOWN = 20
 WINDOW = (-2, -1, 0, 1, 2)
 
 # Words that say what stands beside them.
 CUES = {
-    "title": "mr ms mrs mx dr prof herr frau m mme sr sra",
-    "street": "lane street road close mews hill gardens terrace court dr ave avenue blvd run rue quai place des suite flat apt calle via weg allee",
-    "phone": "tel t mobile phone call ring fax m ext x telephone cell handy",
-    "id": "passport insurance ssn security licence license identity id card personal national social no number",
-    "firm": "ltd sons & gmbh inc co works llc plc",
-    "reach": "at see mail reachable write cc to from",
+    "title": "mr ms mrs miss mx dr prof herr frau mme m sr sra madame monsieur señor señora",
+    "street": "lane street road close mews hill gardens terrace court drive place way row square crescent st ave avenue blvd run rd ln rue quai boulevard chemin allée flat apt apartment unit suite calle avenida plaza via viale corso piazza rua weg allee straße bis",
+    "phone": "tel t mobile mob phone call ring fax m ext x telephone cell handy direct",
+    "id": "passport insurance ssn security licence license identity permit id ni national personal social",
+    "firm": "ltd sons co daughters gmbh inc works llc plc bv ag sa",
+    "greeting": "hi hello dear hallo hey hola ciao bonjour olá",
+    "preposition": "in to from for at near via",
+    "company": "with by and",
 }
+FOREIGN = frozenset("rue avenue quai place boulevard chemin allée calle via straße weg".split())
+# Phrases that close a letter, a name following.
+CLOSING = (
+    r"(?:all the |all )?best(?: regards| wishes)?|(?:kind|kindest|warm|with kind) regards|regards|yours(?: sincerely| faithfully| truly)?|sincerely|cheers|(?:many |with )?thanks|thank you|br|rgds|warmly|take care|"
+    r"(?:bien )?cordialement|bien à vous|merci|mit (?:freundlichen|besten) grüßen|(?:viele|beste|liebe|herzliche) grüße|gruß|vg|lg|mfg|saludos(?: cordiales)?|un (?:abrazo|saludo)|atentamente|gracias|cumprimentos|obrigad[oa]|"
+    r"cordiali saluti|distinti saluti|grazie|met vriendelijke groet(?:en)?|groet(?:en|jes)?|bedankt|--"
+)
 _token = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|[^\W\d_]+|\d+|\n|[^\w\s]|_")
 _gap = r"(?: ?\n[>| \t]*| )?"  # values may be broken at a space, with the marks of a quotation
-_spelled = rf"[\w.%+-]+{_gap}(?:\(at\)|\[at\]|\{{at\}}){_gap}[\w-]+(?:(?:\.|{_gap}(?:\(dot\)|\[dot\]|\{{dot\}}|\bdot\b){_gap})[\w-]+)+|[\w.%+-]+{_gap}\bat\b{_gap}[\w-]+(?:{_gap}\bdot\b{_gap}[\w-]+)+"
-_forms = {
-    "email": re.compile(rf"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|{_spelled}", re.I),
-    "phone": re.compile(rf"(?:\+|\()?\d(?:[().\-/]|{_gap}[\d(]){{5,}}(?<=\d)(?:{_gap}(?:ext\.?|x|extension){_gap}\d+)?", re.I),
-    "id_number": re.compile(rf"\b[A-Z]{{2}}{_gap}\d{{2}}{_gap}\d{{2}}{_gap}\d{{2}}{_gap}[A-D]\b|" r"(?=[A-Z0-9 -]*\d{2})[A-Z]{0,5}\d[A-Z0-9]*(?:-[A-Z0-9]+|(?: |\n[>| \t]*)(?=\d)\d+)*"),
-}
-_case_lists = {"given": frozenset(g.lower() for g in GIVEN), "month": frozenset(m.lower() for m in MONTHS), "day": frozenset(d.lower() for d in DAYS)}
+_spelled = rf"[\w.%+-]+{_gap}[(\[{{]at[)\]}}]{_gap}[\w-]+(?:(?:\.|{_gap}[(\[{{]dot[)\]}}]{_gap})[\w-]+)+|[\w.%+-]+{_gap}\bat\b{_gap}[\w-]+(?:{_gap}\bdot\b{_gap}[\w-]+)+"
+#: What a value may look like, several forms for one kind; none decides, each is a feature.
+FORMS = [
+    re.compile(rf"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|{_spelled}", re.I),
+    re.compile(rf"(?<![\w./-])(?:\+|\(0|00?(?=[1-9]))\(?\d(?:[().\-/]|{_gap}[\d(]){{5,}}(?<=\d)(?:{_gap}(?:ext\.?|x){_gap}\d+)?(?!-?\w)", re.I),
+    re.compile(rf"(?<![\w./-])\(?\d{{3}}\)?[.\- ]{_gap}\d{{3}}[.-]\d{{4}}(?:{_gap}(?:ext\.?|x){_gap}\d+)?(?!-?\w)", re.I),
+    re.compile(rf"(?<![\w/#-])(?:[A-Z]{{2}}{_gap}\d{{2}}{_gap}\d{{2}}{_gap}\d{{2}}{_gap}[A-D]|[A-Z]{{0,5}}\d[A-Z0-9]{{4,}}(?:-[A-Z0-9]+)*|\d{{3}}[- ]{_gap}\d{{2}}[- ]{_gap}\d{{4}}|\d{{6}}[- ]{_gap}\d{{4}})(?!-?\w)"),
+    re.compile(rf"(?<![\w/#-])(?:[A-Z]{{1,2}}\d{{1,2}}[A-Z]?{_gap}\d[A-Z]{{2}}|[A-Z]{{2}}{_gap}\d{{5}}|\d{{5}}|\d{{4}}{_gap}[A-Z]{{2}}|\d{{4}}-\d{{3}})(?![\w-])"),
+    re.compile(r"\d{4,5}(?:-\d{3,5}){2,}|\d[\d,]*\.\d{2}\b|\d{1,2}:\d{2}|\d{1,2}[./-]\d{1,2}[./-]\d{2,4}"),
+]
+_case_lists = {"given": frozenset(g.lower() for g in GIVEN), "month": frozenset(m.lower() for m in MONTHS), "day": frozenset(d.lower() for d in DAYS), "trade": frozenset(t.lower() for t in FIRM_NOUNS)}
 _cue = {w: k for k, v in CUES.items() for w in v.split()}
 
 
@@ -71,18 +92,16 @@ def features(token: str, known: frozenset[str]) -> list[str]:
     low = token.lower()
     names = [f"s={_shape(token)}"]
     if token.isalpha():
-        names += [f"s3={low[-3:]}|{_shape(token)}", f"s2={low[-2:]}|{_shape(token)}", f"p2={low[:2]}", f"n={min(len(token), 12)}|{_shape(token)}"]
+        names.append(f"s2={low[-2:]}|{_shape(token)}")
         if token[0].isupper():
             names.append(f"given={low in _case_lists['given']}")
-        if low.endswith(("weg", "straße", "allee", "gasse", "straat", "laan", "gracht")):
+        if low.endswith(("weg", "straße", "allee", "gasse", "platz", "straat", "laan", "gracht", "plein")):
             names.append("streetend")
     if low in known or len(token) == 1:
         names.append(f"w={low}")
     elif token.isalpha():
         names.append(f"rare={_shape(token)}")
-    for k in ("month", "day"):
-        if low in _case_lists[k]:
-            names.append(k)
+    names += [k for k in ("month", "day", "trade") if low in _case_lists[k]]
     if low in _cue:
         names.append(f"cue={_cue[low]}")
     return names
@@ -93,28 +112,81 @@ def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ø", "o").replace("ß", "ss").replace("æ", "ae")) if not unicodedata.combining(c))
 
 
-_spelled_local = re.compile(r"([\w.%+-]{1,64})\s?(?:\(at\)|\[at\])", re.I)
+_spelled_local = re.compile(r"([\w.%+-]{1,64})\s?[(\[{]at[)\]}]", re.I)
 _split = re.compile(r"[.+_%-]")
-
-
-def flags(text: str, tokens: list[str]) -> np.ndarray:
-    """Per token: starts a line, quotation marks apart; ends one; recurs in the local part of a mail address."""
-    n = len(tokens)
-    out = np.zeros((n, 3), np.float32)
+_xx = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+"
+#: Where a text itself says that words are a name: beside an address, after a greeting, before "wrote", in a header.
+_shown = re.compile(
+    rf"(?m)((?:{_xx}[ ]+){{1,3}})(?:<|\[mailto|\((?=[\w.+%-]+@))|^[>| \t]*(?:[Hh]i|[Hh]ello|[Dd]ear|[Hh]allo|[Hh]ey|[Bb]onjour|[Hh]ola|[Cc]iao|[Oo]lá)[ ]+(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.?[ ]+)?((?:{_xx}[ ]?){{1,2}})[,:]?$"
+    rf"|((?:{_xx}[ ]+){{1,3}})(?:wrote|a écrit|escribió|ha scritto|escreveu|schreef)\b|\b(?:schrieb|schreef)[ ]+((?:{_xx}[ ]?){{1,3}}):|^[>| \t]*(?:From|To|Von|An|De|À|Van|Aan|Cc):[ ]((?:{_xx}[ ]?){{1,3}})$"
+)
+_word = re.compile(r"[^\W\d_]+")
+_after_closing = re.compile(rf"(?im)^[>| \t]*(?:{CLOSING})[ ]*[,.!]?[ ]*\n(?:[>| \t]*\n)*([^\n]+)$")
+_salutes = re.compile(rf"(?m)^[>| \t]*((?:{_xx}[ ]?){{1,2}})[,:]?[ ]*$")
+#: Marks of a token; they count at the token and at its two neighbours.
+MARKS = ["starts", "ends", "mailed", "shown", "after_closing", "salutes", *(f"{p}{k}" for k in range(len(FORMS)) for p in "bie"), "id_before", "street_near", "in_firm", "title_before"]
+BESIDE = (-2, -1, 0, 1, 2)
+
+
+def _near(flag: np.ndarray, before: int, after: int) -> np.ndarray:
+    """Whether one of so many tokens before or after has the flag."""
+    total = np.r_[0, np.cumsum(flag)]
+    at = np.arange(len(flag))
+    return total[np.minimum(at + after + 1, len(flag))] > total[np.maximum(at - before, 0)]
+
+
+def flags(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
+    """The marks of each token of a text, and those of its neighbours: starts a line (quotation marks apart) or ends
+    one; recurs in a mail address or where the text shows a name; begins or goes on a form; has cues nearby."""
+    n = len(spans)
+    tokens = [text[a:b] for a, b in spans]
+    low = [t.lower() for t in tokens]
+    out = np.zeros((n, len(MARKS)), np.float32)
     newline = np.fromiter((t == "\n" for t in tokens), bool, n)
     solid = ~(newline | np.fromiter((t in ">|" for t in tokens), bool, n))
     before = np.cumsum(solid) - solid
     out[:, 0] = before == np.maximum.accumulate(np.where(newline, before, 0))
     out[:-1, 1] = newline[1:]
     out[-1:, 1] = 1
-    locals_ = [t.partition("@")[0] for t in tokens if "@" in t]
-    if "at)" in text or "at]" in text:
-        locals_ += _spelled_local.findall(text)
+    locals_ = [t.partition("@")[0] for t in tokens if "@" in t] + [m for m in _spelled_local.findall(text)]
     parts = {p for x in locals_ for p in _split.split(x.lower()) if len(p) > 2}
     if parts:
         parts |= {p[1:] for p in parts}
         out[:, 2] = [len(t) > 2 and t[0].isupper() and _plain(t) in parts for t in tokens]
-    return out
+    shown = {w.lower() for m in _shown.finditer(text) for g in m.groups() if g for w in _word.findall(g) if len(w) > 1}
+    if shown:
+        out[:, 3] = [t[0].isupper() and w in shown for t, w in zip(tokens, low)]
+    starts = np.fromiter((a for a, _ in spans), np.int64, n)
+    for column, pattern in ((4, _after_closing), (5, _salutes)):
+        for m in pattern.finditer(text):
+            first, last = np.searchsorted(starts, m.span(1))
+            out[first:last, column] = 1
+    for k, form in enumerate(FORMS):
+        for m in form.finditer(text):
+            first, last = np.searchsorted(starts, m.span())
+            if first < last:
+                out[first, 6 + 3 * k] = 1
+                out[first + 1 : last, 7 + 3 * k] = 1
+                out[last : last + 1, 8 + 3 * k] = 1
+    cue = [_cue.get(w, "") for w in low]
+    is_ = lambda k: np.fromiter((c == k for c in cue), bool, n)
+    capital = np.fromiter((t[0].isupper() for t in tokens), bool, n)
+    streets = is_("street") & (capital & ~np.fromiter((len(t) > 1 and t.isupper() for t in tokens), bool, n) | np.fromiter((w in FOREIGN for w in low), bool, n)) | np.fromiter((w.endswith(("straße", "gasse", "allee", "straat", "laan", "gracht", "weg", "platz", "plein")) for w in low), bool, n)
+    for k in np.flatnonzero(capital & (is_("firm") | np.fromiter((w in _case_lists["trade"] for w in low), bool, n))):
+        out[k, -2] = 1
+        while k and (capital[k - 1] or tokens[k - 1] in "&-"):  # the run of words that ends in it
+            k -= 1
+            out[k, -2] = 1
+    out[:, -4] = _near(is_("id"), 6, -1)
+    out[:, -3] = _near(streets, 6, 4)
+    out[:, -1] = _near(is_("title"), 2, -1)
+    beside = np.zeros((n, len(BESIDE) * len(MARKS)), np.float32)
+    for k, shift in enumerate(BESIDE):
+        m = n - abs(shift)
+        if m > 0:
+            to, at = (slice(0, m), slice(shift, None)) if shift >= 0 else (slice(-shift, None), slice(0, m))
+            beside[to, k * len(MARKS) : (k + 1) * len(MARKS)] = out[at]
+    return beside
 
 
 class Tagger:
@@ -127,7 +199,6 @@ class Tagger:
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, len(WINDOW), len(TAGS)), np.float32)
-        self.fixed = np.zeros((0, len(TAGS)), np.float32)
 
     def __getstate__(self) -> dict:
         return {"numbers": self.numbers, "weights": self.weights, "flag_weights": self.flag_weights, "step": self.step, "known": self.known}
@@ -142,15 +213,12 @@ class Tagger:
             # a feature that the table lacks says nothing
             made = np.stack([self.weights[:, [n for x in features(t, self.known) if (n := self.numbers.get(x)) is not None]].sum(1) for t in new]).astype(np.float32)
             self.rows = np.concatenate([self.rows, made])
-            # the one fixed potential: a token in the form of a mail address is one
-            mail = np.array([[_shape(t) == "mail"] for t in new]) & (np.arange(len(TAGS)) == TAGS.index("B-email"))
-            self.fixed = np.concatenate([self.fixed, 12 * mail.astype(np.float32)])
             for t in new:
                 self.index[t] = len(self.index)
         return np.fromiter((self.index[t] for t in tokens), np.int64, len(tokens))
 
     def emissions(self, ids: np.ndarray, flagged: np.ndarray) -> np.ndarray:
-        out = flagged @ self.flag_weights + self.fixed[ids]
+        out = flagged @ self.flag_weights
         for k, shift in enumerate(WINDOW):
             n = len(ids) - abs(shift)
             if n > 0:
@@ -173,7 +241,7 @@ class Tagger:
             longest = len(spans[part[-1]])
             score = np.zeros((len(part), longest, len(TAGS)), np.float32)
             for k, i in enumerate(part):
-                score[k, : len(spans[i])] = self.emissions(flat[cuts[i] : cuts[i + 1]], flags(texts[i], tokens[i]))
+                score[k, : len(spans[i])] = self.emissions(flat[cuts[i] : cuts[i + 1]], flags(texts[i], spans[i]))
             for i, path in zip(part, self._best(score, [len(spans[i]) for i in part])):
                 found[i] = _spans(path, spans[i])
         return found
@@ -230,7 +298,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
         spans = tokenize(text)
         texts.append((text, spans))
         tags.append([int(mark[a]) for a, _ in spans])
-    words = frozenset(w for w, n in known.items() if n >= 8 and w.isalpha())
+    words = frozenset(w for w, n in known.items() if n >= KNOWN and w.isalpha())
     types: dict[str, int] = {}
     ids = [np.array([types.setdefault(t[a:b], len(types)) for a, b in ss]) for t, ss in texts]
     listed = [features(t, words) for t in types]
@@ -242,27 +310,41 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
     live, begins = np.unique(feature[by_feature], return_index=True)
     width = len(TAGS)
 
-    # sentences of like length side by side
-    order = np.argsort([len(i) for i in ids], kind="stable")
-    groups = []
+    # all tokens in a row, then cut into stretches of about STRETCH tokens, never within a value, that lie side by side
     pairs = np.zeros((width + 1, width), np.float32)
-    for part in np.array_split(order, 12):
-        longest = max(len(ids[k]) for k in part)
-        grid, gold, marks = np.full((len(part), longest), -1), np.zeros((len(part), longest), np.int64), np.zeros((len(part), longest, 3), np.float32)
-        for row, k in enumerate(part):
-            n = len(ids[k])
-            grid[row, :n], gold[row, :n], marks[row, :n] = ids[k], tags[k], flags(texts[k][0], [texts[k][0][a:b] for a, b in texts[k][1]])
-            np.add.at(pairs, (gold[row, : n - 1], gold[row, 1:n]), 1)
-            pairs[-1, gold[row, 0]] += 1
-        real = grid >= 0
-        shifted = np.full((len(WINDOW), *grid.shape), -1)
-        for k, shift in enumerate(WINDOW):
-            n = longest - abs(shift)
-            if n > 0:
-                to, at = (slice(0, n), slice(shift, None)) if shift >= 0 else (slice(-shift, None), slice(0, n))
-                shifted[k][:, to] = np.where(real[:, to], grid[:, at], -1)
-        groups.append((shifted, marks, np.eye(width, dtype=np.float32)[gold], real[..., None].astype(np.float32), real.sum(1)))
-    parameters = [np.zeros((len(WINDOW), len(numbers), width), np.float32), np.zeros((3, width), np.float32), np.zeros((width + 1, width), np.float32)]
+    cuts, sides, every_mark = [], [], []
+    at = 0
+    for i, tag, (text, spans) in zip(ids, tags, texts):
+        n = len(i)
+        for k in WINDOW:
+            moved = np.full(n, -1)
+            to, of = (slice(0, max(0, n - k)), slice(k, None)) if k >= 0 else (slice(-k, None), slice(0, max(0, n + k)))
+            moved[to] = i[of]
+            sides.append(moved)
+        every_mark.append(flags(text, spans))
+        begin = 0
+        while begin < n:
+            end = min(n, begin + STRETCH)
+            while end < n and tag[end] and tag[end] % 2 == 0:
+                end += 1
+            cuts.append((at + begin, at + end))
+            begin = end
+        at += n
+    beside = np.stack([np.concatenate(sides[k :: len(WINDOW)]) for k in range(len(WINDOW))])
+    marked, tagged = np.concatenate(every_mark), np.concatenate([np.array(t, np.int64) for t in tags])
+    sizes = np.array([b - a for a, b in cuts])
+    groups = []
+    for part in np.array_split(np.argsort(sizes, kind="stable"), 8):
+        longest = sizes[part].max()
+        place = np.array([cuts[k][0] for k in part])[:, None] + np.arange(longest)
+        real = np.arange(longest)[None] < sizes[part][:, None]
+        place = np.where(real, place, 0)
+        gold = tagged[place]
+        np.add.at(pairs, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
+        np.add.at(pairs[-1], gold[:, 0], 1)
+        shifted = np.where(real[None], beside[:, place], -1)
+        groups.append((shifted, marked[place] * real[..., None], np.eye(width, dtype=np.float32)[gold], real[..., None].astype(np.float32), sizes[part]))
+    parameters = [np.zeros((len(WINDOW), len(numbers), width), np.float32), np.zeros((len(BESIDE) * len(MARKS), width), np.float32), np.zeros((width + 1, width), np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
     total = float(sum(len(i) for i in ids))
     for turn in range(1, steps + 1):
@@ -276,7 +358,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
                 score += rows[k][moved]
             expected, between = _expectations(score, step, sizes)
             off = (expected - target) * real
-            grads[1] += np.einsum("ntf,ntl->fl", marks, off)
+            grads[1] += marks.reshape(-1, marks.shape[2]).T @ off.reshape(-1, width)
             grads[2] = grads[2] + between
             for k, moved in enumerate(shifted):
                 for tag in range(width):
@@ -285,7 +367,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
             grads[0][k][live] = np.add.reduceat(by_type[k, 1:][owner[by_feature]], begins)  # row 0 stands for no token
         rate = 0.12 * min(1.0, 2.0 * (1 - turn / (steps + 1)) + 0.05)
         for p, g, (m, v) in zip(parameters, grads, moments):
-            g = g / total + 2e-6 * p
+            g = g / total + PENALTY * p
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             p -= rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.98**turn)) + 1e-7)
@@ -315,44 +397,6 @@ def _expectations(score: np.ndarray, step: np.ndarray, sizes: np.ndarray) -> tup
     return tags, np.concatenate([jump * ((here / mass).T @ then), tags[:, 0].sum(0)[None]])
 
 
-_tracking = re.compile(r"\d{4,5}-\d{3,5}-\d{4,5}$|\d{3,5}-\d{5}-")
-_identity = re.compile(r"(?:social\s+security(?:\s+number)?|SSN|passport|insurance\s+n\w*\.?|NI\s+n\w*\.?|personal\s+ID|ID\s+card|identity\s+card|licence(?:\s+number)?)[\s:>|]*$", re.I)
-# a firm's name goes on with its trade; a lone word after such a preposition is a place
-_firm = re.compile(rf"[ \t]+(?:& Sons\b|and Sons\b|(?:{'|'.join(TRADES)})\b|Ltd\b|GmbH\b|Inc\b)")
-_place = re.compile(r"\b(?:to|for|in|left|from)\s[>|\s]*$")
-_titles = re.compile(r"^(?:mr|ms|mrs|mx|dr|prof)\.?\s+|^(?:hi|hello|dear|hallo)\s+", re.I)
-
-
-def checked(kind: str, start: int, end: int, text: str) -> tuple[int, int] | None:
-    """The span trimmed or widened to the whole value of its kind that it overlaps; None if it has no such form."""
-    if kind in _forms:
-        low, high = max(0, start - 60), min(len(text), end + 60)
-        for m in _forms[kind].finditer(text, low, high):
-            a, b = m.span()
-            if a < end and b > start:
-                digits = sum(c.isdigit() for c in text[a:b])
-                if kind == "email" or (kind == "phone" and 7 <= digits <= 18 and not _tracking.match(text[a:b])) or (kind == "id_number" and digits >= 5 and text[max(0, a - 1) : a] not in ("-", "+")):
-                    return a, b
-        return None
-    value = text[start:end]
-    if kind == "name":
-        value = _titles.sub("", value.lstrip(" .,;:>|\n\t"))
-        start = end - len(value)
-        if initial := re.search(r"(?<!P\.)\b[A-Z]\.\s?$", text[max(0, start - 5) : start]):
-            start -= len(initial[0])
-            value = text[start:end]
-        value = re.sub(r"(?:['’]s)?[\s,;:.]*$", "", value)
-        if _firm.match(text, start + len(value)) or (value.isalpha() and value.lower() not in _case_lists["given"] and _place.search(text, max(0, start - 20), start)):
-            return None
-        return (start, start + len(value)) if len(value) > 1 and value[0].isupper() and not any(c.isdigit() for c in value) else None
-    value = value.rstrip(" ,;\n>|")
-    start += len(value) - len(value.lstrip(" \n\t>|,"))
-    value = text[start : start + len(value.lstrip(" \n\t>|,"))]
-    if value.endswith(".") and not re.search(r"\b(?:Dr|Ave|Blvd|St)\.$", value):
-        value = value[:-1]
-    return (start, start + len(value)) if any(c.isdigit() for c in value) and len(value) > 9 else None
-
-
 def personal_information(df: DataFrame, keys: list[str], fields: list[str], tagger: Tagger | None = None) -> DataFrame:
     """Per row and field: keys, field, ``found`` (array of kind, value, start; start counted from 0) and ``redacted``,
     the text with every value replaced by its typed placeholder.
@@ -366,15 +410,9 @@ def personal_information(df: DataFrame, keys: list[str], fields: list[str], tagg
             texts = batch["_text"].tolist()
             found, redacted = [], []
             for text, spans in zip(texts, made.decode(texts)):
-                kept: list[tuple[str, int, int]] = []
-                for kind, a, b in spans:
-                    kind = "id_number" if kind == "phone" and _identity.search(text, max(0, a - 40), a) else kind
-                    span = checked(kind, a, b, text)
-                    if span and (not kept or span[0] >= kept[-1][2]):
-                        kept.append((kind, *span))
-                found.append([{"kind": k, "value": text[a:b], "start": a} for k, a, b in kept])
+                found.append([{"kind": k, "value": text[a:b], "start": a} for k, a, b in spans])
                 out, at = [], 0
-                for k, a, b in kept:
+                for k, a, b in spans:
                     out += [text[at:a], PLACEHOLDERS[k]]
                     at = b
                 redacted.append("".join([*out, text[at:]]))
