@@ -54,12 +54,14 @@ CLOSING = (
     r"(?:bien )?cordialement|bien à vous|merci|mit (?:freundlichen|besten) grüßen|(?:viele|beste|liebe|herzliche) grüße|gruß|vg|lg|mfg|saludos(?: cordiales)?|un (?:abrazo|saludo)|atentamente|gracias|cumprimentos|obrigad[oa]|"
     r"cordiali saluti|distinti saluti|grazie|met vriendelijke groet(?:en)?|groet(?:en|jes)?|bedankt|--"
 )
-_token = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|[^\W\d_]+|\d+|\n|[^\w\s]|_")
+_token = re.compile(r"(?<![\w.%+-])[\w.%+-]++@[\w-]+(?:\.[\w-]+)+|[^\W\d_]+|\d+|\n|[^\w\s]|_")
 _gap = r"(?: ?\n[>| \t]*| )?"  # values may be broken at a space, with the marks of a quotation
-_spelled = rf"[\w.%+-]+{_gap}[(\[{{]at[)\]}}]{_gap}[\w-]+(?:(?:\.|{_gap}[(\[{{]dot[)\]}}]{_gap})[\w-]+)+|[\w.%+-]+{_gap}\bat\b{_gap}[\w-]+(?:{_gap}\bdot\b{_gap}[\w-]+)+"
+_spelled = rf"(?<![\w.%+-])[\w.%+-]++(?:{_gap}[(\[{{]at[)\]}}]{_gap}[\w-]++(?:(?:\.|{_gap}[(\[{{]dot[)\]}}]{_gap})[\w-]++)+|{_gap}\bat\b{_gap}[\w-]++(?:{_gap}\bdot\b{_gap}[\w-]++)+)"
+SPELLED = re.compile(_spelled, re.I)
+_at = re.compile(r"[(\[{]at[)\]}]|\bdot\b", re.I)
 #: What a value may look like, several forms for one kind; none decides, each is a feature.
 FORMS = [
-    re.compile(rf"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|{_spelled}", re.I),
+    re.compile(r"(?<![\w.%+-])[\w.%+-]++@[\w-]+(?:\.[\w-]+)+"),
     re.compile(rf"(?<![\w./-])(?:\+|\(0|00?(?=[1-9]))\(?\d(?:[().\-/]|{_gap}[\d(]){{5,}}(?<=\d)(?:{_gap}(?:ext\.?|x){_gap}\d+)?(?!-?\w)", re.I),
     re.compile(rf"(?<![\w./-])\(?\d{{3}}\)?[.\- ]{_gap}\d{{3}}[.-]\d{{4}}(?:{_gap}(?:ext\.?|x){_gap}\d+)?(?!-?\w)", re.I),
     re.compile(rf"(?<![\w/#-])(?:[A-Z]{{2}}{_gap}\d{{2}}{_gap}\d{{2}}{_gap}\d{{2}}{_gap}[A-D]|[A-Z]{{0,5}}\d[A-Z0-9]{{4,}}(?:-[A-Z0-9]+)*|\d{{3}}[- ]{_gap}\d{{2}}[- ]{_gap}\d{{4}}|\d{{6}}[- ]{_gap}\d{{4}})(?!-?\w)"),
@@ -112,81 +114,125 @@ def _plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ø", "o").replace("ß", "ss").replace("æ", "ae")) if not unicodedata.combining(c))
 
 
-_spelled_local = re.compile(r"([\w.%+-]{1,64})\s?[(\[{]at[)\]}]", re.I)
+_spelled_local = re.compile(r"(?<![\w.%+-])([\w.%+-]++)\s?[(\[{]at[)\]}]", re.I)
 _split = re.compile(r"[.+_%-]")
 _xx = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+"
-#: Where a text itself says that words are a name: beside an address, after a greeting, before "wrote", in a header.
-_shown = re.compile(
-    rf"(?m)((?:{_xx}[ ]+){{1,3}})(?:<|\[mailto|\((?=[\w.+%-]+@))|^[>| \t]*(?:[Hh]i|[Hh]ello|[Dd]ear|[Hh]allo|[Hh]ey|[Bb]onjour|[Hh]ola|[Cc]iao|[Oo]lá)[ ]+(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.?[ ]+)?((?:{_xx}[ ]?){{1,2}})[,:]?$"
-    rf"|((?:{_xx}[ ]+){{1,3}})(?:wrote|a écrit|escribió|ha scritto|escreveu|schreef)\b|\b(?:schrieb|schreef)[ ]+((?:{_xx}[ ]?){{1,3}}):|^[>| \t]*(?:From|To|Von|An|De|À|Van|Aan|Cc):[ ]((?:{_xx}[ ]?){{1,3}})$"
+_lines = re.compile(
+    rf"(?m)^[>| \t]*(?:(?:[Hh]i|[Hh]ello|[Dd]ear|[Hh]allo|[Hh]ey|[Bb]onjour|[Hh]ola|[Cc]iao|[Oo]lá)[ ]+(?:(?:Mr|Mrs|Ms|Mx|Dr|Prof)\.?[ ]+)?|(?:From|To|Von|An|De|À|Van|Aan|Cc):[ ])((?:{_xx}[ ]?){{1,3}})[,:]?$"
 )
+_named_before = re.compile(r"<|\[mailto|\((?=[\w.+%-]+@)|wrote\b|a écrit|escribió|ha scritto|escreveu|schreef\b")
+_named_after = re.compile(rf"(?:schrieb|schreef)[ ]+((?:{_xx}[ ]?){{1,3}}):")
+_last_words = re.compile(rf"(?:{_xx}[ ]+){{1,3}}$")
+
+
+def shown_names(text: str) -> set[str]:
+    """Words that a text itself shows to be names: beside an address, after a greeting, before "wrote", in a header."""
+    found = [m[1] for m in _lines.finditer(text)] + [m[1] for m in _named_after.finditer(text)]
+    found += [w[0] for m in _named_before.finditer(text) if (w := _last_words.search(text, max(0, m.start() - 80), m.start()))]
+    return {w.lower() for x in found for w in _word.findall(x) if len(w) > 1}
+
+
 _word = re.compile(r"[^\W\d_]+")
 _after_closing = re.compile(rf"(?im)^[>| \t]*(?:{CLOSING})[ ]*[,.!]?[ ]*\n(?:[>| \t]*\n)*([^\n]+)$")
 _salutes = re.compile(rf"(?m)^[>| \t]*((?:{_xx}[ ]?){{1,2}})[,:]?[ ]*$")
 #: Marks of a token; they count at the token and at its two neighbours.
 MARKS = ["starts", "ends", "mailed", "shown", "after_closing", "salutes", *(f"{p}{k}" for k in range(len(FORMS)) for p in "bie"), "id_before", "street_near", "in_firm", "title_before"]
-BESIDE = (-2, -1, 0, 1, 2)
+BESIDE = WINDOW
+
+
+#: Properties of a token type, as bits.
+NEWLINE, QUOTE, CAPITAL, STREET, FIRM, ID, TITLE, DIGIT, SIGN, CAPS, MAIL = (1 << k for k in range(11))
+#: Which tokens may begin each form.
+FIRST = (MAIL, DIGIT | SIGN, DIGIT | SIGN, DIGIT | CAPS, DIGIT | CAPS, DIGIT)
+STREET_ENDS = ("straße", "gasse", "allee", "straat", "laan", "gracht", "weg", "platz", "plein")
+
+
+def properties(token: str) -> int:
+    low, capital = token.lower(), token[0].isupper()
+    cue = _cue.get(low, "")
+    street = cue == "street" and (low in FOREIGN or capital and not (len(token) > 1 and token.isupper())) or low.endswith(STREET_ENDS)
+    firm = capital and (cue == "firm" or low in _case_lists["trade"])
+    return NEWLINE * (token == "\n") | QUOTE * (token in ">|") | CAPITAL * capital | STREET * street | FIRM * firm | ID * (cue == "id") | TITLE * (cue == "title") | DIGIT * token[0].isdigit() | SIGN * (token in "+(") | CAPS * (capital and token.isupper()) | MAIL * ("@" in token and len(token) > 1)
 
 
 def _near(flag: np.ndarray, before: int, after: int) -> np.ndarray:
     """Whether one of so many tokens before or after has the flag."""
-    total = np.r_[0, np.cumsum(flag)]
+    total = np.zeros(len(flag) + 1, np.int32)
+    np.cumsum(flag, out=total[1:])
     at = np.arange(len(flag))
     return total[np.minimum(at + after + 1, len(flag))] > total[np.maximum(at - before, 0)]
 
 
-def flags(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """The marks of each token of a text, and those of its neighbours: starts a line (quotation marks apart) or ends
-    one; recurs in a mail address or where the text shows a name; begins or goes on a form; has cues nearby."""
+def marks(text: str, spans: list[tuple[int, int]], tokens: list[str], kinds: np.ndarray) -> np.ndarray:
+    """The marks of each token of a text, whose properties are ``kinds``: starts a line (quotation marks apart) or ends
+    one; recurs in a mail address or where the text shows a name; begins, goes on or follows a form; has cues nearby."""
     n = len(spans)
-    tokens = [text[a:b] for a, b in spans]
-    low = [t.lower() for t in tokens]
     out = np.zeros((n, len(MARKS)), np.float32)
-    newline = np.fromiter((t == "\n" for t in tokens), bool, n)
-    solid = ~(newline | np.fromiter((t in ">|" for t in tokens), bool, n))
+    newline = (kinds & NEWLINE) > 0
+    solid = (kinds & (NEWLINE | QUOTE)) == 0
     before = np.cumsum(solid) - solid
     out[:, 0] = before == np.maximum.accumulate(np.where(newline, before, 0))
     out[:-1, 1] = newline[1:]
     out[-1:, 1] = 1
-    locals_ = [t.partition("@")[0] for t in tokens if "@" in t] + [m for m in _spelled_local.findall(text)]
+
+    # stretches of the text by column: closings and salutations, and the forms of values
+    spelled = _at.search(text) is not None
+    found = [(k, *m.span(1)) for k, p in enumerate((_after_closing, _salutes)) for m in p.finditer(text)]
+    for k, (form, first) in enumerate(zip(FORMS, FIRST)):
+        end = 0
+        for at in np.flatnonzero(kinds & first).tolist():
+            if spans[at][0] >= end and (m := form.match(text, spans[at][0])):
+                end = m.end()
+                found.append((k + 2, *m.span()))
+    if spelled:
+        found += [(2, *m.span()) for m in SPELLED.finditer(text)]
+    if found:
+        column, begins, ends = np.array(found).T
+        starts = np.fromiter((a for a, _ in spans), np.int64, n)
+        first, last = np.searchsorted(starts, begins), np.searchsorted(starts, ends)
+        inside = np.zeros((n + 2, len(FORMS) + 2), np.int32)
+        form = column > 1
+        some = first < last
+        np.add.at(inside, ((first + form)[some], column[some]), 1)
+        np.add.at(inside, (last[some], column[some]), -1)
+        covered = np.cumsum(inside[:n], axis=0) > 0
+        out[:, 4:6] = covered[:, :2]
+        out[:, 7 : 6 + 3 * len(FORMS) : 3] = covered[:, 2:]
+        out[first[some & form], 6 + 3 * (column[some & form] - 2)] = 1
+        after = some & form & (last < n)
+        out[last[after], 8 + 3 * (column[after] - 2)] = 1
+
+    capital = (kinds & CAPITAL) > 0
+    locals_ = [text[a:b].partition("@")[0] for k, a, b in found if k == 2] + (_spelled_local.findall(text) if spelled else [])
     parts = {p for x in locals_ for p in _split.split(x.lower()) if len(p) > 2}
-    if parts:
-        parts |= {p[1:] for p in parts}
-        out[:, 2] = [len(t) > 2 and t[0].isupper() and _plain(t) in parts for t in tokens]
-    shown = {w.lower() for m in _shown.finditer(text) for g in m.groups() if g for w in _word.findall(g) if len(w) > 1}
-    if shown:
-        out[:, 3] = [t[0].isupper() and w in shown for t, w in zip(tokens, low)]
-    starts = np.fromiter((a for a, _ in spans), np.int64, n)
-    for column, pattern in ((4, _after_closing), (5, _salutes)):
-        for m in pattern.finditer(text):
-            first, last = np.searchsorted(starts, m.span(1))
-            out[first:last, column] = 1
-    for k, form in enumerate(FORMS):
-        for m in form.finditer(text):
-            first, last = np.searchsorted(starts, m.span())
-            if first < last:
-                out[first, 6 + 3 * k] = 1
-                out[first + 1 : last, 7 + 3 * k] = 1
-                out[last : last + 1, 8 + 3 * k] = 1
-    cue = [_cue.get(w, "") for w in low]
-    is_ = lambda k: np.fromiter((c == k for c in cue), bool, n)
-    capital = np.fromiter((t[0].isupper() for t in tokens), bool, n)
-    streets = is_("street") & (capital & ~np.fromiter((len(t) > 1 and t.isupper() for t in tokens), bool, n) | np.fromiter((w in FOREIGN for w in low), bool, n)) | np.fromiter((w.endswith(("straße", "gasse", "allee", "straat", "laan", "gracht", "weg", "platz", "plein")) for w in low), bool, n)
-    for k in np.flatnonzero(capital & (is_("firm") | np.fromiter((w in _case_lists["trade"] for w in low), bool, n))):
+    parts |= {p[1:] for p in parts}
+    shown = shown_names(text)
+    if parts or shown:
+        at = np.flatnonzero(capital).tolist()
+        out[[k for k in at if len(tokens[k]) > 2 and _plain(tokens[k]) in parts], 2] = 1
+        out[[k for k in at if tokens[k].lower() in shown], 3] = 1
+    for k in np.flatnonzero(kinds & FIRM).tolist():
         out[k, -2] = 1
         while k and (capital[k - 1] or tokens[k - 1] in "&-"):  # the run of words that ends in it
             k -= 1
             out[k, -2] = 1
-    out[:, -4] = _near(is_("id"), 6, -1)
-    out[:, -3] = _near(streets, 6, 4)
-    out[:, -1] = _near(is_("title"), 2, -1)
-    beside = np.zeros((n, len(BESIDE) * len(MARKS)), np.float32)
+    for column, kind, back, ahead in ((-4, ID, 6, -1), (-3, STREET, 6, 4), (-1, TITLE, 2, -1)):
+        here = (kinds & kind) > 0
+        if here.any():
+            out[:, column] = _near(here, back, ahead)
+    return out
+
+
+def beside(out: np.ndarray) -> np.ndarray:
+    """Marks of each token and of its neighbours side by side."""
+    n, width = out.shape
+    wide = np.zeros((n, len(BESIDE) * width), np.float32)
     for k, shift in enumerate(BESIDE):
         m = n - abs(shift)
         if m > 0:
             to, at = (slice(0, m), slice(shift, None)) if shift >= 0 else (slice(-shift, None), slice(0, m))
-            beside[to, k * len(MARKS) : (k + 1) * len(MARKS)] = out[at]
-    return beside
+            wide[to, k * width : (k + 1) * width] = out[at]
+    return wide
 
 
 class Tagger:
@@ -199,6 +245,7 @@ class Tagger:
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, len(WINDOW), len(TAGS)), np.float32)
+        self.kinds = np.zeros(0, np.int32)
 
     def __getstate__(self) -> dict:
         return {"numbers": self.numbers, "weights": self.weights, "flag_weights": self.flag_weights, "step": self.step, "known": self.known}
@@ -213,17 +260,19 @@ class Tagger:
             # a feature that the table lacks says nothing
             made = np.stack([self.weights[:, [n for x in features(t, self.known) if (n := self.numbers.get(x)) is not None]].sum(1) for t in new]).astype(np.float32)
             self.rows = np.concatenate([self.rows, made])
+            self.kinds = np.concatenate([self.kinds, np.array([properties(t) for t in new], np.int32)])
             for t in new:
                 self.index[t] = len(self.index)
         return np.fromiter((self.index[t] for t in tokens), np.int64, len(tokens))
 
-    def emissions(self, ids: np.ndarray, flagged: np.ndarray) -> np.ndarray:
-        out = flagged @ self.flag_weights
+    def emissions(self, ids: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(ids), len(TAGS)), np.float32)
+        weights = self.flag_weights.reshape(len(BESIDE), len(MARKS), len(TAGS))
         for k, shift in enumerate(WINDOW):
             n = len(ids) - abs(shift)
             if n > 0:
                 to, at = (slice(0, n), slice(shift, None)) if shift >= 0 else (slice(-shift, None), slice(0, n))
-                out[to] += self.rows[ids[at], k]
+                out[to] += self.rows[ids[at], k] + marked[at] @ weights[k]
         return out
 
     def decode(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -241,7 +290,7 @@ class Tagger:
             longest = len(spans[part[-1]])
             score = np.zeros((len(part), longest, len(TAGS)), np.float32)
             for k, i in enumerate(part):
-                score[k, : len(spans[i])] = self.emissions(flat[cuts[i] : cuts[i + 1]], flags(texts[i], spans[i]))
+                score[k, : len(spans[i])] = self.emissions(flat[cuts[i] : cuts[i + 1]], marks(texts[i], spans[i], tokens[i], self.kinds[flat[cuts[i] : cuts[i + 1]]]))
             for i, path in zip(part, self._best(score, [len(spans[i]) for i in part])):
                 found[i] = _spans(path, spans[i])
         return found
@@ -301,6 +350,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
     words = frozenset(w for w, n in known.items() if n >= KNOWN and w.isalpha())
     types: dict[str, int] = {}
     ids = [np.array([types.setdefault(t[a:b], len(types)) for a, b in ss]) for t, ss in texts]
+    kinds = np.array([properties(t) for t in types], np.int32)
     listed = [features(t, words) for t in types]
     owner = np.repeat(np.arange(len(listed)), [len(x) for x in listed])
     numbers: dict[str, int] = {}
@@ -321,7 +371,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
             to, of = (slice(0, max(0, n - k)), slice(k, None)) if k >= 0 else (slice(-k, None), slice(0, max(0, n + k)))
             moved[to] = i[of]
             sides.append(moved)
-        every_mark.append(flags(text, spans))
+        every_mark.append(beside(marks(text, spans, [text[a:b] for a, b in spans], kinds[i])))
         begin = 0
         while begin < n:
             end = min(n, begin + STRETCH)
@@ -330,7 +380,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
             cuts.append((at + begin, at + end))
             begin = end
         at += n
-    beside = np.stack([np.concatenate(sides[k :: len(WINDOW)]) for k in range(len(WINDOW))])
+    moved_ids = np.stack([np.concatenate(sides[k :: len(WINDOW)]) for k in range(len(WINDOW))])
     marked, tagged = np.concatenate(every_mark), np.concatenate([np.array(t, np.int64) for t in tags])
     sizes = np.array([b - a for a, b in cuts])
     groups = []
@@ -342,7 +392,7 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
         gold = tagged[place]
         np.add.at(pairs, (gold[:, :-1][real[:, 1:]], gold[:, 1:][real[:, 1:]]), 1)
         np.add.at(pairs[-1], gold[:, 0], 1)
-        shifted = np.where(real[None], beside[:, place], -1)
+        shifted = np.where(real[None], moved_ids[:, place], -1)
         groups.append((shifted, marked[place] * real[..., None], np.eye(width, dtype=np.float32)[gold], real[..., None].astype(np.float32), sizes[part]))
     parameters = [np.zeros((len(WINDOW), len(numbers), width), np.float32), np.zeros((len(BESIDE) * len(MARKS), width), np.float32), np.zeros((width + 1, width), np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
@@ -352,13 +402,13 @@ def trained(table: int = TABLE, steps: int = STEPS) -> Tagger:
         rows = [np.concatenate([np.add.reduceat(w[k][feature], firsts), np.zeros((1, width), np.float32)]) for k in range(len(WINDOW))]
         by_type = np.zeros((len(WINDOW), len(types) + 1, width), np.float32)
         grads = [np.zeros_like(w), np.zeros_like(f), -pairs]
-        for shifted, marks, target, real, sizes in groups:
-            score = marks @ f
+        for shifted, given, target, real, sizes in groups:
+            score = given @ f
             for k, moved in enumerate(shifted):
                 score += rows[k][moved]
             expected, between = _expectations(score, step, sizes)
             off = (expected - target) * real
-            grads[1] += marks.reshape(-1, marks.shape[2]).T @ off.reshape(-1, width)
+            grads[1] += given.reshape(-1, given.shape[2]).T @ off.reshape(-1, width)
             grads[2] = grads[2] + between
             for k, moved in enumerate(shifted):
                 for tag in range(width):
