@@ -21,12 +21,9 @@ def fan_out(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Gives every core work where the input is so small that its own partitions would not: rows are dealt out at a
-    width that AQE does not merge again. An input of as many full partitions as that keeps its own, unshuffled."""
-    spark = df.sparkSession
-    full = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size >= full * fan_out(spark) else df.repartition(fan_out(spark))
+    """Deals rows out evenly at a width that AQE does not merge again: stages of Python cost time per row, and neither a
+    file of one row group nor a mailbox with a third of all rows may keep one task busy while others wait."""
+    return df.repartition(fan_out(df.sparkSession))
 
 
 def one_per_message(df: DataFrame, *columns: str) -> DataFrame:
