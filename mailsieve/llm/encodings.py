@@ -36,6 +36,8 @@ MARGINS = np.arange(1.0, 12.1, 0.25)
 #: The first model has counted damaged records too, so what it finds likelier by this much is left out of the second.
 IN_DOUBT = 2.0
 LOST = "�"
+#: Tokens that a worker remembers, at most.
+REMEMBERED = 300_000
 
 _utf8 = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}")
 #: A token is bounded by ASCII white space only: a no-break space may be half of a damaged letter.
@@ -149,7 +151,10 @@ class Model:
             scores = self.likelihood(flat)
             k = len(part)
             for i, (token, os) in enumerate(zip(part, options)):
-                if os:
+                if LOST in token:  # nothing is less likely than a mark that a decoder puts for what it can't read
+                    likelier = os and scores[k : k + len(os)].max() > scores[i]
+                    self.known[token] = (*(os[int(np.argmax(scores[k : k + len(os)]))] if likelier else (token, "lost")), np.inf)
+                elif os:
                     j = int(np.argmax(scores[k : k + len(os)]))
                     self.known[token] = (*os[j], float(scores[k + j] - scores[i]))
                 else:
@@ -157,9 +162,8 @@ class Model:
                 k += len(os)
 
     def damaged(self, text: str) -> bool:
-        """Whether one token, or several together, are likelier rewritten; its tokens must be known."""
-        gains = [g for g in (self.known[t][2] for t in set(_token.findall(text))) if g > 0]
-        return bool(gains) and (max(gains) > self.margin or sum(gains) > 2 * self.margin)
+        """Whether a token is likelier rewritten by more than the margin; its tokens must be known."""
+        return any(self.known[t][2] > self.margin for t in set(_token.findall(text)))
 
     def repair(self, text: str) -> tuple[str, list[str], float]:
         """The text restored as far as chains go, the chains used, and the greatest gain; its tokens must be known."""
@@ -169,6 +173,11 @@ class Model:
         fixed = _token.sub(lambda m: self.known[m[0]][0] if self.known[m[0]][2] > 0 else m[0], text)
         return fixed, sorted({c for c, _ in used}), max(g for _, g in used)
 
+    def forget(self) -> None:
+        """Keeps what a worker remembers below a fixed size."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+
 
 def fit(df: DataFrame, text: str) -> Model:
     """Counts the model over all clean records of df and validates its margin on all distinct clean tokens. Clean are, for
@@ -189,6 +198,7 @@ def fit(df: DataFrame, text: str) -> Model:
         three, two = np.zeros(TRIGRAMS, np.int64), np.zeros(BIGRAMS, np.int64)
         for batch in batches:
             kept = clean(list(batch["t"]), first)
+            model.forget()
             if kept:
                 a, _, b, _ = _grams(kept)
                 three += np.bincount(a, minlength=TRIGRAMS)
@@ -213,6 +223,7 @@ def fit(df: DataFrame, text: str) -> Model:
     def clean_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens = {w for t in clean(list(batch["t"]), False) for w in _token.findall(t)}
+            model.forget()
             yield pd.DataFrame({"w": sorted(tokens)})
 
     margin = validated_margin(model, texts.mapInPandas(clean_tokens, "w string").distinct())
@@ -275,11 +286,10 @@ def damaged_texts(df: DataFrame, keys: list[str], text: str, model: Model | None
         for batch in batches:
             model.best(t for x in batch["_text"] for t in _token.findall(x))
             fixed = [model.repair(x) for x in batch["_text"]]
-            keep = [bool(f[1]) or LOST in x for f, x in zip(fixed, batch["_text"])]
+            keep = [bool(f[1]) for f in fixed]
             out = batch.assign(restored=[f[0] for f in fixed], chains=[f[1] for f in fixed], gain=[max(f[2], 0.0) for f in fixed], whole=[LOST not in x for x in batch["_text"]])
             yield out[keep].rename(columns={"_text": "damaged"})
-            if len(model.known) > 300_000:
-                model.known.clear()
+            model.forget()
 
     rows = df.select(*keys, F.col(text).alias("_text")).where(F.col("_text").rlike(r"[^\x00-\x7F]"))
     return rows.mapInPandas(run, f"{kinds}, damaged string, restored string, chains array<string>, gain double, whole boolean")
