@@ -3,7 +3,7 @@ phrases and notices, in nine languages.
 
 The rules run in order over the lines of one body. (1) Quoted mail: an attribution ("On ... wrote:", over up to
 three lines), a separator, a block of header lines, or a quote mark. A marked quotation ends where the mark ends, so
-answers between quotations stay; mail quoted without marks after a header block runs to the end. (2) In each stretch
+answers between quotations stay; mail quoted without marks after a header block runs to the end, but for answers signed in brackets. (2) In each stretch
 that is left: notices, then a signature, begun by its delimiter, a closing phrase, or found from the end by the
 shape of its lines. A postscript after a signature is new again.
 """
@@ -60,16 +60,21 @@ GREETINGS = (
 )
 POSTSCRIPT = r"(?:p\.?\s?p?\.?s\.?|n\.?b\.?)\s*[:.)–-]?\s+\S|(?:ps|p\.s\.)[:.]\S"
 
-_attribution_end = re.compile(rf"(?:\b(?:{WROTE})\b|{WROTE.split('|')[7]}).{{0,80}}[:：]\s*$", re.I)
+_attribution_end = re.compile(rf"(?:\b(?:{WROTE})\b|{WROTE.split('|')[7]}).*[:：]\s*$", re.I)
 _evidence = re.compile(r"\d|@")
 _separator = re.compile(rf"^\s*[-_=*]{{2,}}\s*(?:{SEPARATORS})\s*[-_=*]*\s*$|^\s*(?:{BEGIN_FORWARD})\s*[:：]\s*$", re.I)
 _from_header = re.compile(rf"^\s*\*?(?:{FROM_HEADERS})\*?\s?[:：]\*?\s*\S", re.I)
 _other_header = re.compile(rf"^\s*\*?(?:{OTHER_HEADERS})\*?\s?[:：]", re.I)
 _rule = re.compile(r"^\s*([_*=#~-])\1{4,}\s*$")
-_mark = re.compile(r"^ {0,3}>")
+_mark = re.compile(r"^ {0,3}(?:>|[A-Z][A-Za-z]{0,3}> )")  # also with the initials of who is quoted
+#: An answer within a quotation that has no marks, signed in brackets where it begins.
+_answer = re.compile(r"^\s*(?:\[[A-Z][\w.’'-]*(?: [A-Z][\w.’'-]*){0,2}\]|<[A-Z][\w.’'-]*>|\*{2,}[A-Z][\w ]*\*{2,})[:,]?\s+\S")
 _bar = re.compile(r"^ {0,3}[|│»](?=\s|$)")
 _indent = re.compile(r"^(?: {4,}|\t)")
 _delimiter = re.compile(r"^-- ?$|^—\s?$")
+#: Thanks that end a letter; they do so only right above a name.
+_thanks = re.compile(r"^\s*(?:(?:many )?thanks|thank you|cheers|(?:vielen )?dank|danke|merci|(?:muchas )?gracias|grazie|obrigad[oa]|bedankt|dhanyavaad|धन्यवाद)\b[^.?!:]*[,!]?\s*$", re.I)
+_name = re.compile(r"^\s*[A-ZÀ-ÞŁŚŽŠ][\w.’'-]*(?: [A-ZÀ-ÞŁŚŽŠ][\w.’'-]*){0,3}\s*$")
 _closing = re.compile(rf"^\s*(?:{CLOSINGS})\s*[,.!–-]*\s*$", re.I)
 _device = re.compile(rf"^\s*(?:{DEVICES})\s*(?:[,;–-] .{{0,60}})?\.?\s*$", re.I)
 _notice = re.compile(NOTICES, re.I)
@@ -82,18 +87,18 @@ _cased = re.compile(r"^[A-ZÀ-ÞŁŚŽŠ]")
 
 
 def _attributions(lines: list[str], taken: list[bool]) -> dict[int, int]:
-    """First line of each attribution -> its last line; an attribution may be wrapped over three lines."""
+    """First line of each attribution -> its last line; an attribution may be wrapped within its paragraph."""
     found = {}
     for end, line in enumerate(lines):
         if taken[end] or not _attribution_end.search(line):
             continue
-        for start in range(end, max(-1, end - 3), -1):
+        for start in range(end, -1, -1):
             if taken[start] or not lines[start].strip():
                 break
             joined = " ".join(x.strip() for x in lines[start : end + 1])
             opens = re.match(r"(?:on|am|le|el|em|il|op)\s+\S", joined, re.I)
             named = re.match(r"[^\s<]+(?:\s+[^\s<]+){0,3}(?:\s*<[^<>]*>)?\s+(?:" + WROTE + r")\b", joined, re.I)
-            if _evidence.search(joined) and (opens or named) and len(joined) < 240:
+            if _evidence.search(joined) and (opens or named):
                 found[start] = end
                 break
     return found
@@ -114,7 +119,7 @@ def _quoted(lines: list[str]) -> list[bool]:
             style = next((s for s in (_mark, _bar, _indent) if s.match(ahead)), None)
             continue
         if _separator.match(line) or (_rule.match(line) and any(_from_header.match(x) for x in lines[at + 1 : at + 3])) or _header_block(lines, at):
-            return quoted[:at] + [True] * (n - at)
+            return quoted[:at] + [not x for x in _answers(lines, at)]
         if _bar.match(line) and (style is _bar or (at + 1 < n and _bar.match(lines[at + 1])) or (at and quoted[at - 1])):
             quoted[at], style = True, _bar
         elif style is _indent and _indent.match(line):
@@ -127,6 +132,15 @@ def _quoted(lines: list[str]) -> list[bool]:
     return quoted
 
 
+def _answers(lines: list[str], first: int) -> list[bool]:
+    """Which lines of an unmarked quotation from ``first`` on are answers signed in brackets, with what they wrap into."""
+    out, width = [], max(map(len, lines[first:]))
+    for k in range(first, len(lines)):
+        wrapped = bool(out) and out[-1] and lines[k].strip() and width >= 50 and len(lines[k - 1]) + 1 + len(lines[k].split()[0]) > width
+        out.append(bool(_answer.match(lines[k])) or bool(wrapped))
+    return out
+
+
 def _header_block(lines: list[str], at: int) -> bool:
     """A From line followed by at least one more header line; one alone may be a sentence."""
     return bool(_from_header.match(lines[at])) and at + 1 < len(lines) and bool(_other_header.match(lines[at + 1])) and (at == 0 or not lines[at - 1].strip() or bool(_rule.match(lines[at - 1])))
@@ -166,7 +180,8 @@ def _kept(lines: list[str], first: int, end: int) -> list[int]:
             drop.add(k)
             k += 1
             continue
-        if _delimiter.match(line) or _closing.match(line) or _device.match(line):
+        thanks = k + 1 < end and _thanks.match(line) and _name.match(lines[k + 1])
+        if _delimiter.match(line) or _closing.match(line) or _device.match(line) or thanks:
             signed = True
             continue
         if _barred.match(line):  # a signature in one line, whatever follows it
@@ -194,7 +209,7 @@ def _unsigned(lines: list[str], kept: list[int], first: int) -> list[int]:
         if kept[cut] == first or not lines[kept[cut] - 1].strip():
             break
     block = kept[cut:]
-    whole = bool(block) and (block[0] == first or not lines[block[0] - 1].strip())
+    whole = bool(block) and (block[0] == first or not lines[block[0] - 1].strip()) and not (cut and lines[kept[cut - 1]].rstrip().endswith(":"))
     if not whole:  # lines that end a paragraph: only what is unmistakable
         cut = len(kept)
         while cut and (_device.match(lines[kept[cut - 1]].strip()) or (_contact.match(lines[kept[cut - 1]].strip()) and lines[kept[cut - 1]].rstrip()[-1] not in ".,;") or lines[kept[cut - 1]].count(" | ") >= 2):
