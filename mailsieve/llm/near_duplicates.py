@@ -6,8 +6,8 @@ classes) and publishes only its prefix, the n-grams of which two similar sets mu
 n-gram; the join condition applies the length, positional, suffix and bitmap filters, a pair that shares too few
 n-grams of its prefixes is dropped, and each surviving pair is verified once against the full sets. Connected components of the links are the groups.
 
-Skew. A frequent n-gram's posting list is cut into blocks by its document frequency, and every pair of blocks meets
-in a task of its own (``block_pairs``), so no list is gathered in one task and no pair is lost.
+Skew. A frequent n-gram's posting list is cut into blocks by the number of prefixes that hold it, and every pair of
+blocks meets in a task of its own (``block_pairs``), so no list is gathered in one task and no pair is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .common import cut, fan_out, words
 
 #: Postings of one n-gram that may meet in one task; longer lists are split into blocks of about this size.
 BLOCK = 2_000
+#: Hot n-grams, of two longs each, that are sent to every task at most; more of them are joined by a shuffle.
+SMALL = 500_000
 #: Buckets of the suffix histogram; eight counts of one byte each fit a long.
 BUCKETS = 8
 #: Longs of the bitmap over a whole set.
@@ -30,7 +32,8 @@ MAPS = 3
 
 
 def shingles(text: Column, n: int) -> Column:
-    """The distinct n-grams of words of a text as sorted 64-bit hashes; empty for a text of fewer than n words."""
+    """The distinct n-grams of words of a text as sorted 64-bit hashes; a text of fewer words has one of all its words, and
+    a text without words none."""
     listed = words(text)
 
     def gram(w: Column, i: Column) -> Column:
@@ -41,7 +44,9 @@ def shingles(text: Column, n: int) -> Column:
         lambda w: F.when(
             F.size(w) >= n,
             F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: gram(w, i)))),
-        ).otherwise(F.array().cast("array<bigint>")),
+        )
+        .when(F.size(w) > 0, F.array(F.xxhash64(w)))
+        .otherwise(F.array().cast("array<bigint>")),
     )[0]
 
 
@@ -116,7 +121,10 @@ def candidate_pairs(classes: DataFrame, threshold: float) -> DataFrame:
     grams and df: those n-grams that another class has too, rarest first, and their document frequencies."""
     spark = classes.sparkSession
     posted = classes.mapInPandas(_postings(threshold), "gram long, df long, cid long, n int, pos int, after long, " + ", ".join(f"m{k} long" for k in range(MAPS)))
-    met = block_pairs(posted, F.col("df"), "gram", "cid").repartition(fan_out(spark), "gram", "meet_a", "meet_b")
+    # only an n-gram of many documents can be in many prefixes; how many it is in decides how it is cut
+    hot = cut(posted.where(F.col("df") > BLOCK).groupBy("gram").agg(F.count("*").alias("prefixes")).where(F.col("prefixes") > BLOCK))
+    sized = posted.join(F.broadcast(hot) if hot.count() <= SMALL else hot, "gram", "left")
+    met = block_pairs(sized, F.coalesce("prefixes", F.lit(1)), "gram", "cid").drop("prefixes").repartition(fan_out(spark), "gram", "meet_a", "meet_b")
     left, right = met.alias("l"), met.alias("r")
     a, b = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     need = _need(threshold, a("n"), b("n"))
@@ -184,8 +192,8 @@ def near_duplicates(df: DataFrame, key: str, text: Column, n: int = 5, threshold
     """One row per record: ``key``, ``class_id`` (the least key of records with the same n-gram set) and
     ``group_id`` (the least class joined to it by links of Jaccard similarity >= threshold).
 
-    df: one row per key (a long). Null keys are dropped; repeated keys must have been removed. Null and empty texts,
-    and texts of fewer than n words, have no n-grams: each is its own class and group. An empty table gives an
+    df: one row per key (a long). Null keys are dropped; repeated keys must have been removed. Texts of fewer than n words
+    are alike if all their words are the same; null texts and texts without words are each a class and group of its own. An empty table gives an
     empty result; columns other than key are ignored, whatever their names."""
     sets = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), shingles(F.coalesce(text, F.lit("")), n).alias("grams"))
     keyed = cut(sets.withColumn("print", F.when(F.size("grams") == 0, F.concat(F.lit("key "), F.col("key"))).otherwise(F.md5(F.concat_ws(",", F.col("grams").cast("array<string>"))))))

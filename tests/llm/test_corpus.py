@@ -20,7 +20,7 @@ def table(spark, rows, schema):
 
 def grams(text, n):
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} if words else set()
 
 
 def brute_groups(texts, n, threshold):
@@ -89,6 +89,12 @@ BODIES = [
     ("Le 10/02/2025 à 13:41, Ann A a écrit :\n| vieux\n|\n\nréponse", [5]),
     ("Ann wrote (8 August):\n\told\n\told too\n\nnew", [5]),
     ("With count>86 we are above plan.\n- 3 boxes at 5.00\n\nAnn B | Sales | Firm Ltd | 01 99 00 12 34", [1, 2]),
+    ("JD> old text\nnew text", [2]),
+    ("See below.\n\nFrom: Ann <a@x.example>\nSent: Monday\n\nCan you come?\n[Anna] Yes I can come.\nOr not?", [1, 7]),
+    ("We need:\n\nParis\nLondon\nNew York", [1, 3, 4, 5]),
+    ("All is well.\nThanks again for the help\nJohn Smith\nSales Manager", [1]),
+    ("Thanks for the help.\n\nMore text follows here.", [1, 3]),
+    ("x\n\nOn Tuesday the first of March of the year two thousand and twenty three, at four\no'clock in the afternoon, the very long winded and rather talkative gentleman\nby the name of Theodore Maximilian Featherstonehaugh the Third of that family\n<t@x.example> wrote:\n> old", [1]),
     ("", []),
     (None, []),
     ("\n \n", []),
@@ -155,6 +161,12 @@ def test_one_form(spark):
     assert lookalikes.one_form(df.where("false"), "v").count() == 0
 
 
+def test_repair_goes_to_the_script_of_the_token(spark):
+    values = ["Москва", "Мoсква", "Moсква вечером", "ПОЧТА", "ПОЧТA", "Αθήνα", "Aθήνα", "xкx"]
+    got = [r.form for r in lookalikes.one_form(table(spark, list(enumerate(values)), "id int, v string"), "v").orderBy("id").collect()]
+    assert got == ["Москва", "Москва", "Москва вечером", "ПОЧТА", "ПОЧТА", "Αθήνα", "Αθήνα", "xкx"]
+
+
 def test_same_face(spark):
     known = table(spark, [("n", 1, "Crédit Bank")], "field string, entry_id int, written string")
     values = ["Crédit Bank", "CRéDIT BANK", "Credit Bank", "Crédit Bаnk", "Crédit Bank", "Crédit Bank", "Crédit Bamk", "Čredit Bank"]
