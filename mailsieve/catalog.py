@@ -12,7 +12,7 @@ from .dialect import DUCK, HOST, SPARK
 from .functions import html, text, url
 from .operators import report, rules, scoring, semantic, triage, trust
 from .operators.brands import brands, claims, near_targets
-from .plans.context import delivered_once, distinct_links, link_context, message_context, scan
+from .plans.context import delivered_once, distinct_links, link_context, message_context, scan, sender_context
 from .refdata import FREEMAIL, OPEN_HOSTING
 from .sources import mail
 from .streaming import events
@@ -113,7 +113,7 @@ def correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(lambda: _whole(f"SELECT msg_id, severity, id, score::BIGINT AS score FROM bag WHERE id IN ({', '.join(repr(t) for t in rules.TRIAGE)}) AND severity IN ('high', 'critical') QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, score DESC, id) = 1"))
 def triage_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.worst(scoring.bags(spark, sf_dir))
+    return triage.of_senders(spark, sf_dir)
 
 
 @query(lambda: _whole("SELECT msg_id, id, severity, score, link_index, n FROM lfound"))
@@ -188,10 +188,10 @@ def brand_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims(message_context(spark, sf_dir), brands(spark, sf_dir))
 
 
-@query(_brands + " SELECT DISTINCT written AS core, target, levenshtein(plain.core, target)::INTEGER AS distance FROM plain, brand WHERE levenshtein(plain.core, target) BETWEEN 1 AND 2 AND length(plain.core) >= 5 AND length(target) >= 5 AND (levenshtein(plain.core, target) = 1 OR (length(plain.core) >= 8 AND length(target) >= 8))")
+@query(_brands + " SELECT DISTINCT core, target, distance FROM close")
 def lookalike_theta_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near pairs of domain cores and protected names, by segments that edits leave intact."""
-    cores = message_context(spark, sf_dir).select(F.col("sender_core").alias("core")).union(link_context(spark, sf_dir).select(F.regexp_extract("host_registrable", r"^([^.]+)", 1)))
+    """All near pairs of domain cores and protected names, by what they look like and by segments that edits leave intact."""
+    cores = sender_context(spark, sf_dir).select(F.col("sender_core").alias("core")).union(link_context(spark, sf_dir).select("host_core"))
     return near_targets(cores.distinct(), brands(spark, sf_dir)).select("core", "target", "distance").distinct()
 
 
@@ -230,9 +230,9 @@ def redact_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- links
 
 
-@query(_ctx + " SELECT msg_id, link_index, url, scheme, host, host_registrable, path, query, subdomain_labels::INTEGER AS subdomain_labels, tracker, open_hosting FROM lnk")
+@query(_ctx + " SELECT msg_id, link_index, url, scheme, host, host_registrable, path, query, subdomain_labels::INTEGER AS subdomain_labels, tracker, open_hosting FROM lnk WHERE hop = 0")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_context(spark, sf_dir).select("msg_id", "link_index", "url", "scheme", "host", "host_registrable", "path", "query", "subdomain_labels", "tracker", "open_hosting")
+    return link_context(spark, sf_dir).where("hop = 0").select("msg_id", "link_index", "url", "scheme", "host", "host_registrable", "path", "query", "subdomain_labels", "tracker", "open_hosting")
 
 
 @query(_ctx + " SELECT host_registrable, count(*) AS links, count(DISTINCT host) AS hosts, count(DISTINCT msg_id) AS messages FROM lnk GROUP BY 1")
@@ -289,7 +289,7 @@ def skeleton_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def osa_lookalike(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near pairs with swaps counted once: the segment join proposes, the alignment distance decides."""
     pairs = lookalike_theta_levenshtein(spark, sf_dir)
-    return pairs.withColumn("osa", text.osa_distance(F.col("core"), F.col("target"))).where("osa <= 2")
+    return pairs.withColumn("osa", text.osa_distance(F.expr(SPARK.skeleton("core")), F.expr(SPARK.skeleton("target")))).where("osa <= 2")
 
 
 @query()

@@ -28,22 +28,22 @@ class Scoring:
 
 @dataclass(frozen=True)
 class Bounds:
-    """How much of a message the rules read; they are part of the rules' meaning."""
+    """How much of a message the rules read; they are part of the rules' meaning. None reads all of it."""
 
-    body: int = 200_000
-    subject: int = 998
+    body: int | None = 200_000
+    subject: int | None = 998
     evidence: int = 160
-    anchor: int = 300
-    links: int = 300
-    attachments: int = 60
-    parties: int = 60
+    anchor: int | None = 300
+    links: int | None = 300
+    attachments: int | None = 60
+    parties: int | None = 60
     hops: int = 3
     findings_per_rule: int = 3
-    language_window: int = 2_000
+    language_window: int | None = 2_000
     hidden_chars: int = 600
     bulk_links: int = 12
-    prompt_body: int = 4_000
-    prompt_header: int = 300
+    prompt_body: int | None = 4_000
+    prompt_header: int | None = 300
 
 
 SCORING, BOUNDS = Scoring(), Bounds()

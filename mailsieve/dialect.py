@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .functions.text import LOOKS, PAIRS
 from .refdata import MULTI_SUFFIXES
 from .suffixes import delegated
 
@@ -12,6 +13,10 @@ _suffixes = "|".join(s.replace(".", r"\.") for s in MULTI_SUFFIXES)
 REGISTRABLE = rf"([^.]+\.(?:{_suffixes})|[^.]+\.[^.]+)$"
 IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 PRIVATE_IPV4 = r"^(10\.|127\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.)"
+#: Letters in other forms, full-width and mathematical, and the plain ones; and all that folding changes.
+_forms = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)} | {chr(0x1D400 + k): chr((65 if k % 52 < 26 else 71) + k % 52) for k in range(13 * 52)} | {chr(0x1D7CE + k): str(k % 10) for k in range(50)}
+UNSEEN = r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]"
+UNUSUAL = r"[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{FF01}-\x{FF5E}\x{1D400}-\x{1D7FF}]"
 
 
 class Dialect:
@@ -60,7 +65,35 @@ class Dialect:
         """What ``read`` makes of the value of the first listed parameter of which it makes something."""
         raise NotImplementedError
 
+    def within(self, part: str, text: str) -> str:
+        """Whether a text contains another, both expressions."""
+        return f"({part} <> '' AND length(replace({text}, {part}, '')) < length({text}))"
+
+    def any_of(self, parts: str, holds: Callable[[str], str]) -> str:
+        """Whether a condition holds for an element of an array of texts."""
+        raise NotImplementedError
+
+    def split(self, text: str, mark: str) -> str:
+        raise NotImplementedError
+
     # the same in both, given the above
+    def folded(self, text: str) -> str:
+        """Without hidden characters, and letters in their plain form; most texts are so already."""
+        plain = f"translate({self.replace(text, UNSEEN, '')}, {self.literal(''.join(_forms))}, {self.literal(''.join(_forms.values()))})"
+        return f"CASE WHEN {self.match(text, UNUSUAL)} THEN {plain} ELSE {text} END"
+
+    def skeleton(self, name: str) -> str:
+        """What a name looks like: look-alike letters and pairs as the plain letter, i as l, without separators."""
+        out = f"translate(lower({name}), {self.literal(''.join(LOOKS))}, {self.literal(''.join(LOOKS.values()))})"
+        for pair, one in PAIRS:
+            out = f"replace({out}, {self.literal(pair)}, {self.literal(one)})"
+        return self.replace(f"replace({out}, 'i', 'l')", "[-._ ]", "")
+
+    def sentences(self, text: str) -> str:
+        """Words as ``words`` gives them, with a full stop between sentences."""
+        stops = self.replace(f"lower({self.folded(text)})", r"[.!?।\n]+", " . ")
+        return f"concat(' ', {self.replace(stops, r'[^\p{L}\p{M}\p{N}.]+', ' ')}, ' ')"
+
     def head(self, text: str, most: int | None) -> str:
         """The first characters of a text, all of them if ``most`` is None."""
         return text if most is None else f"substring({text}, 1, {most})"
@@ -79,7 +112,7 @@ class Dialect:
 
     def words(self, column: str) -> str:
         """Lower-cased words apart by single spaces, a space at either end."""
-        return f"concat(' ', trim({self.replace(f'lower({column})', r'[^\p{L}\p{M}\p{N}]+', ' ')}), ' ')"
+        return f"concat(' ', trim({self.replace(f'lower({self.folded(column)})', r'[^\p{L}\p{M}\p{N}]+', ' ')}), ' ')"
 
     def host(self, url: str) -> str:
         return self.replace(f"lower({self.extract(url, HOST)})", r"^www\.|\.+$", "")
@@ -116,6 +149,12 @@ class Spark(Dialect):
     def count(self, column: str, pattern: str) -> str:
         return f"regexp_count({column}, {self.literal(pattern)})"
 
+    def any_of(self, parts: str, holds: Callable[[str], str]) -> str:
+        return f"exists({parts}, s -> {holds('s')})"
+
+    def split(self, text: str, mark: str) -> str:
+        return f"split({text}, {self.literal(mark)})"
+
     def starts(self, text: str, beginning: str) -> str:
         return f"startswith({text}, {self.literal(beginning)})"
 
@@ -154,6 +193,12 @@ class Duck(Dialect):
     def count(self, column: str, pattern: str) -> str:
         return f"len(regexp_extract_all({column}, {self.literal(pattern)}))"
 
+    def any_of(self, parts: str, holds: Callable[[str], str]) -> str:
+        return f"(len(list_filter({parts}, lambda s: {holds('s')})) > 0)"
+
+    def split(self, text: str, mark: str) -> str:
+        return f"regexp_split_to_array({text}, {self.literal(mark)})"
+
     def starts(self, text: str, beginning: str) -> str:
         return f"starts_with({text}, {self.literal(beginning)})"
 

@@ -79,14 +79,14 @@ def redacted_addresses(c: Column) -> Column:
 
 
 # Letters and what they resemble, and pairs of letters that look like one.
-_LOOKS = dict(zip("аеорсхуіјѕһԁԛԝкмтвнзαεικνορτυχωηβɑɡıȷꞷ013$@|!¡", "aeopcxyijshdqwkmtbh3aeikvoptuxwnbagijwole" "sa" "lll", strict=True))
-_PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("nn", "m"))
+LOOKS = dict(zip("аеорсхуіјѕһԁԛԝкмтвнзαεικνορτυχωηβɑɡıȷꞷ013$@|!¡", "aeopcxyijshdqwkmtbh3aeikvoptuxwnbagijwole" "sa" "lll", strict=True))
+PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"), ("nn", "m"))
 
 
 def skeleton_of(text: str) -> str:
     """What a word looks like: decomposed without marks, look-alikes replaced, look-alike pairs joined, i and l one."""
-    flat = "".join(_LOOKS.get(c, c) for c in unicodedata.normalize("NFKD", text.lower()) if unicodedata.category(c) != "Mn")
-    for pair, one in _PAIRS:
+    flat = "".join(LOOKS.get(c, c) for c in unicodedata.normalize("NFKD", text.lower()) if unicodedata.category(c) != "Mn")
+    for pair, one in PAIRS:
         flat = flat.replace(pair, one)
     return re.sub(r"[\s._-]+", "", flat.replace("i", "l"))
 
@@ -120,7 +120,7 @@ def folded_of(text: str) -> str:
 
 def normalized_of(text: str) -> str:
     """One form for matching: compatibility form, no direction marks or hidden characters, plain quotes and dashes."""
-    flat = re.sub(INVISIBLE, "", unicodedata.normalize("NFKC", text[:200_000])).lower().replace("ß", "ss")
+    flat = re.sub(INVISIBLE, "", unicodedata.normalize("NFKC", text)).lower().replace("ß", "ss")
     return re.sub(r"\s+", " ", flat.translate(str.maketrans("‘’“”–—−", "''\"\"---"))).strip()
 
 
@@ -175,17 +175,14 @@ _NEGATED_AFTER = re.compile(r"^[^.!?]{0,30}\b(?:is never|will never be|should no
 _CONDITIONAL = re.compile(r"\b(?:if|unless|when|in case)\b[^.!?]{0,80}$", re.I)
 
 
-def unnegated(c: Column, pattern: str, most: int = 12) -> Column:
-    """The first match of a pattern that its sentence does not deny, of at most so many tried; null if all are denied.
+def unnegated(c: Column, pattern: str) -> Column:
+    """The first match of a pattern that its sentence does not deny; null if all are denied.
     A conditional before a denial keeps the match ("if you did not ... send the code")."""
     found = re.compile(pattern, re.I)
 
     def first(text: str) -> str | None:
         at = 0
-        for _ in range(most):
-            m = found.search(text, at)
-            if not m:
-                return None
+        while m := found.search(text, at):
             before = text[max(0, m.start() - 320) : m.start()]
             denied = _NEGATED_BEFORE.search(before) and not _CONDITIONAL.search(before) or _NEGATED_AFTER.search(text[m.end() :])
             if not denied:
@@ -193,4 +190,30 @@ def unnegated(c: Column, pattern: str, most: int = 12) -> Column:
             at = m.start() + 1
         return None
 
+
+def first_match(c: Column, pattern: str) -> Column:
+    """struct(text, at): the first hit of a pattern and where it begins, from 1; null without one."""
+    at = F.regexp_instr(c, F.lit(pattern))
+    return F.when(at > 0, F.struct(F.regexp_extract(c, pattern, 0).alias("text"), at.alias("at")))
+
+
+def is_confusable(a: Column, b: Column) -> Column:
+    """Whether two different names look the same."""
+    return (F.lower(a) != F.lower(b)) & (skeleton(a) == skeleton(b))
+
+
+def fingerprint(*columns: Column) -> Column:
+    """A short key of what columns hold, by which a change is seen; equal for equal contents, nulls included."""
+    return F.lower(F.conv(F.hex(F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))), 16, 36))
+
+
+def duration(milliseconds: Column) -> Column:
+    """"340 ms", "2.4 s", "1 min 05 s"."""
+    seconds = milliseconds / 1000
+    return (
+        F.when(milliseconds < 1000, F.concat(F.round(milliseconds).cast("long").cast("string"), F.lit(" ms")))
+        .when(seconds < 60, F.concat(F.format_number(seconds, 1), F.lit(" s")))
+        .otherwise(F.format_string("%d min %02d s", F.floor(seconds / 60).cast("long"), F.floor(seconds % 60).cast("long")))
+    )
+
     return _each(first, "string")(c)

@@ -46,35 +46,42 @@ def segments(length: F.Column, part: F.Column) -> tuple[F.Column, F.Column]:
     return start, F.floor(length * (part + 1) / 3).cast("int") - start
 
 
-def near_targets(cores: DataFrame, known: DataFrame) -> DataFrame:
-    """(core, target, brand_id, distance): cores within two edits of a target but not equal to it; both have at least
-    five characters, and two edits take eight. Two edits leave one of three segments of the target intact, moved by at
-    most two places: target and core meet on that segment, and the distance is computed once per pair."""
-    size = F.length("target")
-    pieces = known.select("brand_id", "target", size.alias("len")).where("len >= 5").withColumn("part", F.explode(F.array(*map(F.lit, range(3)))))
-    start, width = segments(F.col("len"), F.col("part"))
-    keyed = pieces.withColumn("piece", F.substring("target", start + 1, width))
-    lengths = F.explode(F.array(*[F.length("core") + d for d in range(-2, 3)]))
-    made = cores.select("core").where("length(core) >= 5").distinct().withColumn("len", lengths).where("len >= 5").withColumn("part", F.explode(F.array(*map(F.lit, range(3)))))
+def met_targets(cores: DataFrame, known: DataFrame) -> DataFrame:
+    """cores (core, plain and other columns) with the targets that they may imitate: brand_id, target, ``shown`` and ``face``,
+    the skeletons of both, null for a core without one; a pair may come several times. Two edits leave one of three
+    segments of a core intact, moved by at most two places in the target: they meet on that segment, or on the whole. A
+    core gives four rows, however many targets there are; the targets' pieces are many, but few in all."""
+    made = cores.where("core <> ''").withColumn("shown", F.expr(SPARK.skeleton("plain"))).withColumn("len", F.length("shown"))
+    targets = known.select("brand_id", "target", F.expr(SPARK.skeleton("target")).alias("face")).where("length(face) >= 4")
+    parts, whole = F.explode(F.array(*map(F.lit, range(4)))), F.col("part") == 3
     start, width = segments(F.col("len"), F.col("part"))
-    shifted = made.withColumn("shift", F.explode(F.array(*map(F.lit, range(-2, 3))))).withColumn("from", start + F.col("shift")).where("from >= 0").withColumn("piece", F.substring("core", F.col("from") + 1, width))
-    met = shifted.join(keyed, ["len", "part", "piece"]).select("core", "target", "brand_id").distinct()
-    far = F.levenshtein("core", "target")
-    return met.withColumn("distance", far).where("distance BETWEEN 1 AND 2 AND (distance = 1 OR (length(core) >= 8 AND length(target) >= 8))")
+    keyed = made.withColumn("part", parts).withColumn("piece", F.when(whole, F.col("shown")).otherwise(F.substring("shown", start + 1, width)))
+    pieces = targets.withColumn("len", F.explode(F.array(*[F.length("face") + d for d in range(-2, 3)]))).withColumn("part", parts).withColumn("shift", F.explode(F.array(*map(F.lit, range(-2, 3)))))
+    pieces = pieces.where("(part = 3 AND shift = 0 AND len = length(face)) OR (part < 3 AND len >= 5 AND length(face) >= 5)").withColumn("from", start + F.col("shift")).where("part = 3 OR from >= 0")
+    moved = pieces.withColumn("piece", F.when(whole, F.col("face")).otherwise(F.substring("face", F.col("from") + 1, width))).select("brand_id", "target", "face", "len", "part", "piece").distinct()
+    return keyed.join(moved, ["len", "part", "piece"], "left")
+
 
+#: How far a core is from a target it met, null if too far: 0 if it looks the same, else one edit, or two of long names.
+FAR = """CASE WHEN shown = face THEN CASE WHEN plain <> target THEN 0 END
+WHEN length(shown) >= 5 AND length(face) >= 5 AND (levenshtein(shown, face) = 1 OR (levenshtein(shown, face) = 2 AND length(shown) >= 8 AND length(face) >= 8)) THEN levenshtein(shown, face) END"""
 
-def nearest(pairs: DataFrame) -> DataFrame:
-    """Per core the nearest target, the first by id among equals."""
-    return pairs.groupBy("core").agg(F.min(F.struct("distance", "brand_id")).alias("n")).select("core", F.col("n.brand_id").alias("near_id"), F.col("n.distance").alias("near_distance"))
+
+def near_targets(cores: DataFrame, known: DataFrame) -> DataFrame:
+    """(core, target, brand_id, distance): all pairs of a core and a target that it imitates."""
+    met = met_targets(cores.select("core").distinct().withColumn("plain", F.col("core")), known)
+    return met.withColumn("distance", F.expr(FAR)).where("distance IS NOT NULL").select("core", "target", "brand_id", "distance").distinct()
 
 
 def brands_sql(q: Dialect = DUCK) -> str:
     """Brand, claim and nearest-target tables over ``ctx`` and ``lnk``, for the checking engine."""
     columns = ", ".join(f"{v} AS {k}" for k, v in brand_columns(q).items())
-    near = "levenshtein(plain.core, target) BETWEEN 1 AND 2 AND length(core) >= 5 AND length(target) >= 5 AND (levenshtein(core, target) = 1 OR (length(core) >= 8 AND length(target) >= 8))"
+    near = "(shown = face AND written <> target AND length(face) >= 4) OR (length(shown) >= 5 AND length(face) >= 5 AND (levenshtein(shown, face) = 1 OR (levenshtein(shown, face) = 2 AND length(shown) >= 8 AND length(face) >= 8)))"
     return f"""brand AS (SELECT {columns} FROM known_senders WHERE email IS NOT NULL),
 nw AS (SELECT msg_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT msg_id, string_split(trim(name_words), ' ') AS ws FROM ctx)),
 claim AS (SELECT msg_id, brand_id AS claim_id, brand_domain AS claim_domain FROM nw JOIN brand ON word = keyword QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY pos, brand_id) = 1),
 cores AS (SELECT sender_core AS core FROM ctx UNION SELECT regexp_extract(host_registrable, '^([^.]+)', 1) FROM lnk),
-plain AS (SELECT core AS written, regexp_replace(core, '[^\x00-\x7F]', '?', 'g') AS core FROM cores), -- distances here are of bytes
-near AS (SELECT written AS core, brand_id AS near_id, levenshtein(core, target) AS near_distance FROM plain, brand WHERE {near} QUALIFY row_number() OVER (PARTITION BY written ORDER BY levenshtein(core, target), brand_id) = 1)"""
+plain AS (SELECT core AS written, regexp_replace({q.skeleton("core")}, '[^\x00-\x7F]', '?', 'g') AS shown FROM cores WHERE core <> ''), -- distances here are of bytes
+faces AS (SELECT brand_id, target, {q.skeleton("target")} AS face FROM brand),
+close AS (SELECT written AS core, target, brand_id, levenshtein(shown, face)::INTEGER AS distance FROM plain, faces WHERE {near}),
+near AS (SELECT core, brand_id AS near_id, distance AS near_distance FROM close QUALIFY row_number() OVER (PARTITION BY core ORDER BY distance, brand_id) = 1)"""

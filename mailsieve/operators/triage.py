@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rules import TRIAGE
-from .scoring import rank
+from ..dialect import SPARK
+from .rules import TRIAGE, identity
+from .scoring import rank, sender_lines, signals
+
+
+def of_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst finding of each sender line; bodies, attachments and links are not read."""
+    found = [r for r in identity(SPARK) if r.id in TRIAGE and "party" not in r.when and "name_reused" not in r.when]
+    return worst(sender_lines(spark, sf_dir).select("msg_id", signals(found).alias("signals")))
 
 
 def worst(bag: DataFrame) -> DataFrame:
