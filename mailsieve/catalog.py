@@ -319,11 +319,11 @@ def mime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of corroborated messages only, each distinct prompt once, and what they add."""
-    bag = scoring.refined(scoring.bags(spark, sf_dir)).where(semantic.corroborated()).select("msg_id")
-    texts = delivered_once(scan(spark, sf_dir, "messages"), "sender_name", "subject", "body_text").join(bag, "msg_id", "left_semi")
-    read = semantic.readings(texts.select("msg_id", semantic.prompt(F.col("sender_name"), F.col("subject"), F.col("body_text")).alias("prompt")), "prompt")
-    return read.select("msg_id", "reading.risk", "reading.confidence", semantic.severity(F.col("reading.risk")).alias("severity"), semantic.points(F.col("reading"), F.lit(True)).alias("points"))
+    """Scores with the readings of corroborated messages, each distinct prompt once, and what they add."""
+    once = delivered_once(scan(spark, sf_dir, "messages"), "sender_name", "subject", "body_text")
+    prompts = once.select("msg_id", semantic.prompt(F.col("sender_name"), F.col("subject"), F.col("body_text")).alias("prompt"))
+    scored = scoring.scored(semantic.with_readings(scoring.refined(scoring.bags(spark, sf_dir)), prompts))
+    return scored.where(F.exists("signals", lambda s: s["category"] == "llm")).select("msg_id", "llm_score", "score", "classification")
 
 
 @query(f"SELECT count(*) AS prompts, count(DISTINCT concat(coalesce(sender_name, ''), '|', coalesce(subject, ''), '|', coalesce(body_text, ''))) AS distinct_prompts FROM {_once}")

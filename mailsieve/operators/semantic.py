@@ -22,6 +22,7 @@ KINDS = "credential_theft payment_fraud malware extortion impersonation advance_
 LEAST_RISK, LEAST_CONFIDENCE, FULL_SCORE, MEDIUM_RISK, HIGH_RISK, MOST_KINDS = 45, 0.35, 30, 55, 70, 4
 COUNTS = "zero one two three four five".split()
 ROLES = r"(?i)(?<![A-Za-z0-9_])(?:team|support|service|security|admin|notification|alert|help ?desk|no-?reply)(?![A-Za-z0-9_])"
+SIGNALS = "array<struct<id: string, category: string, severity: string, score: int>>"
 READING = "risk double, categories array<string>, reasons array<string>, confidence double"
 
 Scorer = Callable[[pd.Series], pd.Series]
@@ -29,7 +30,7 @@ Scorer = Callable[[pd.Series], pd.Series]
 
 def stub(prompts: pd.Series) -> pd.Series:
     """A deterministic reader without a model: the share of telling words in a prompt."""
-    telling = ("verify", "password", "account", "urgent", "gift", "transfer", "discarded", "removed", "restore", "refresh", "card")
+    telling = ("verify", "password", "account", "urgent", "gift card", "wire transfer", "suspended", "confirm your", "bank details", "click here")
 
     def read(p: str) -> str:
         hits = sum(w in p.lower() for w in telling)
@@ -114,3 +115,43 @@ def payload(subject: Column, body: Column, sender_name: Column, sender_domain: C
         F.slice(F.array_distinct(extensions), 1, 15).alias("extensions"),
         F.slice(ids, 1, 40).alias("signal_ids"),
     )
+
+
+def to_signals(reading: Column, sure: Column) -> Column:
+    """The signals of a reading, as ``scoring.SIGNAL``: its assessment, with points only where a rule has found something
+    too (``sure``), and a note if it was not confident. None for a missing reading."""
+    risk, confident = reading["risk"], reading["confidence"] >= LEAST_CONFIDENCE
+    made = lambda id_, level, score: F.struct(F.lit(id_).alias("id"), F.lit("llm").alias("category"), level.alias("severity"), score.cast("int").alias("score"))
+    assessment = made("llm.assessment", F.when(sure & confident, severity(risk)).otherwise("info"), points(reading, sure))
+    unsure = F.when(~confident & (risk > 0), made("llm.low_confidence", F.lit("info"), F.lit(0)))
+    return F.when(reading.isNull(), F.array().cast(SIGNALS)).otherwise(F.array_compact(F.array(assessment, unsure)))
+
+
+def with_readings(bag: DataFrame, prompts: DataFrame, scorer: str = "stub") -> DataFrame:
+    """Refined bags with the signals that readings of corroborated messages add; prompts: msg_id, prompt. Only those are
+    read, each distinct prompt once; other signals stay as they are."""
+    wanted = prompts.join(bag.where(corroborated()).select("msg_id"), "msg_id", "left_semi")
+    read = readings(wanted, "prompt", scorer).select("msg_id", "reading")
+    added = F.transform(to_signals(F.col("reading"), corroborated()), lambda s: F.struct(s["id"].alias("id"), s["category"].alias("category"), s["severity"].alias("severity"), s["score"].alias("score"), F.lit(False).alias("dampened")))
+    return bag.join(read, "msg_id", "left").withColumn("signals", F.concat("signals", added)).drop("reading")
+
+
+def sanitized(made: Column) -> Column:
+    """A payload checked again where it leaves: null for none; a field that doesn't fit the contract is dropped or emptied."""
+    domain = lambda c: F.when(c.rlike(r"^[a-z0-9.-]{1,253}$"), c)
+    fitting = lambda c, pattern, most: F.slice(F.array_distinct(F.filter(F.coalesce(c, F.array()), lambda x: x.rlike(pattern))), 1, most)
+    sender = F.coalesce(domain(made["sender_domain"]), F.lit(""))
+    reply = domain(made["reply_to_domain"])
+    return F.when(
+        made.isNotNull(),
+        F.struct(
+            F.substring(redacted_addresses(collapse_whitespace(F.coalesce(made["subject"], F.lit("")))), 1, 300).alias("subject"),
+            F.substring(redacted_addresses(F.coalesce(made["excerpt"], F.lit(""))), 1, BOUNDS.prompt_body).alias("excerpt"),
+            sender.alias("sender_domain"),
+            F.when(made["sender_name_shape"].rlike("^[a-z-]{1,64}$"), made["sender_name_shape"]).otherwise("unknown").alias("sender_name_shape"),
+            F.when(reply != sender, reply).alias("reply_to_domain"),
+            fitting(made["link_domains"], r"^[a-z0-9.-]{1,253}$", 25).alias("link_domains"),
+            fitting(made["extensions"], "^[a-z0-9]{1,16}$", 15).alias("extensions"),
+            fitting(made["signal_ids"], "^[a-z0-9_.]{1,64}$", 40).alias("signal_ids"),
+        ),
+    )

@@ -152,12 +152,30 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", parsed(F.col("content")).alias("m")).select("path", "m.*")
 
 
-def read_mbox(spark: SparkSession, path: str, most: int = 3_000_000) -> DataFrame:
-    """Mailboxes: messages begin at a line "From " after an empty line. Longer messages than ``most`` are marked by a
-    null body rather than dropped."""
+def read_mbox(spark: SparkSession, path: str, most: int | None = 3_000_000) -> DataFrame:
+    """Mailboxes: messages begin at a line "From " after an empty line. Of a message longer than ``most`` only the headers
+    are parsed, and ``status`` says so; None parses all of every message."""
     raw = spark.read.option("lineSep", "\n\nFrom ").text(path)
     body = F.regexp_replace(F.col("value"), r"^(From )?[^\n]*\n", "")
-    return raw.select(parsed(F.when(F.length(body) <= most, body)).alias("m")).select("m.*")
+    long = F.lit(False) if most is None else F.length(body) > most
+    kept = F.when(long, F.concat(F.regexp_extract(body, r"(?s)^(.*?)\r?\n\r?\n", 1), F.lit("\n\n"))).otherwise(body)
+    return raw.select(parsed(kept).alias("m"), F.when(long, "too long: headers only").otherwise("read").alias("status")).select("m.*", "status")
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Messages from a folder or file, each file by its ending: .mbox as mailboxes, all others as single messages; a
+    mailbox under another ending is known by its first line. Adds ``status``; rows have the columns of PARSED."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    box = F.lower("path").endswith(".mbox") | F.startswith(F.substring(F.col("content"), 1, 5).cast("string"), F.lit("From "))
+    text = F.regexp_replace(F.decode("content", "ISO-8859-1"), "\r\n", "\n")
+    each = F.explode(F.when(box, F.transform(F.split(text, "\n\nFrom "), lambda m: F.encode(F.regexp_replace(m, r"^(From )?[^\n]*\n", ""), "ISO-8859-1"))).otherwise(F.array("content")))
+    return files.select("path", each.alias("raw")).select("path", parsed(F.col("raw")).alias("m")).select("path", "m.*", F.lit("read").alias("status"))
+
+
+def outbound(df: DataFrame, account: Column) -> DataFrame:
+    """Without what the account itself sent to others; mail to oneself stays."""
+    own = F.lower("sender_email") == F.lower(account)
+    return df.where(~F.coalesce(own & (F.lower("recipient_email") != F.lower(account)), F.lit(False)))
 
 
 def received(df: DataFrame) -> DataFrame:
