@@ -23,7 +23,7 @@ PIXELS = {"": 1.0, "px": 1.0, "pt": 4 / 3, "pc": 16.0, "in": 96.0, "cm": 37.8, "
 #: Opacity and text size (pixels) below which nothing can be read; pixels beyond which a place is off the screen.
 FAINT, TINY, FAR = 0.05, 3.0, 100.0
 PLACES = ("text-indent", "left", "right", "top", "margin-left", "margin-top")
-_amount = re.compile(r"([+-]?(?:\d+\.?\d*|\.\d+))([a-z]*|%)")
+_amount = re.compile(r"([+-]?(?:\d+\.?\d*|\.\d+))(%|[a-z]*)")
 
 
 def declared(style: str) -> dict[str, str]:
