@@ -32,6 +32,20 @@ CASES = {
     "reused": (dict(sender_name="Bo Lind", sender_email="x@elsewhere.com", thread={"prior_senders": [{"email": "bo@partnerfirm.com", "name": "bo lind"}]}), [], {"identity.thread_participant_name_reuse"}, {"identity.thread_lookalike_participant"}),
     "padding": (dict(sender_email="a@shop.com", subject="Hello" + " " * 30 + "ref"), [], {"content.subject_padding"}, set()),
     "own": (dict(sender_name="Acmecorp Payroll", sender_email="a@shop.com", recipient_email="me@acmecorp.com"), [], {"identity.own_domain_in_sender_name", "identity.own_department_from_outside"}, set()),
+    "code_denied": (dict(sender_email="a@shop.com", body_text="We will never ask you to share your code with anyone. Thank you."), [], set(), {"content.mfa_request"}),
+    "code_asked": (dict(sender_email="a@shop.com", body_text="Never mind the form. Please send us the verification code."), [], {"content.mfa_request"}, set()),
+    "code_given": (dict(sender_email="a@shop.com", body_text="Your code is 482910. Enter the verification code to go on."), [], set(), {"content.mfa_request"}),
+    "full_width": (dict(sender_email="a@shop.com", body_text="Please ｖｅｒｉｆｙ your ac\u200bcount now"), [], {"content.credential_verification"}, set()),
+    "confusable": (dict(sender_name="x", sender_email="a@be11irov.com"), [], {"identity.lookalike_sender_domain"}, {"identity.unverified_brand_domain"}),
+    "punycode": (dict(sender_name="x", sender_email="a@xn--bllirov-6nf.com"), [], {"identity.sender_punycode_domain"}, set()),
+    "delegated": (dict(sender_email="a@shop.museum"), [], set(), {"identity.nonexistent_sender_tld", "identity.private_use_sender_tld"}),
+    "notice": (dict(sender_email="a@shop.com", auth=PASS | {"gmail_warning": "This message is in spam because it is similar to messages that were suspicious"}), [], {"authentication.passed"}, {"authentication.gmail_warning"}),
+    "wrapped": (dict(sender_email="a@shop.com", body_text="x" * 300), [("https://pay.bellirov.example/x", "https://go.other.com/?url=https%3A%2F%2Fpay.bellirov.example%2Fx"), ("z", "https://go.other.com/?u=https%3A%2F%2Fbellirow.com%2F"), ("n", "http://3232235777/"), ("m", "http://134744072/")], {"link.displayed_url_mismatch", "link.redirect_chain", "link.lookalike_domain", "link.ip_address_url"}, set()),
+    "party_named": (dict(sender_name="Support", sender_email="x@elsewhere.com", thread={"prior_senders": [{"email": "bo@partnerfirm.com", "name": "support"}]}), [], set(), {"identity.thread_participant_name_reuse"}),
+    "organisation": (dict(sender_name="Harbour Insurance Claims", sender_email="x@gmail.com"), [], {"identity.unsupported_org_claim"}, set()),
+    "related": (dict(sender_name="Harbour Insurance", sender_email="x@harbour-ins.com"), [], set(), {"identity.unsupported_org_claim"}),
+    "spanish": (dict(sender_email="a@shop.com", body_text="Confirme su contraseña para que la cuenta no sea bloqueada, por favor, es su última oportunidad en 24 horas. Envíe el código que está en su teléfono."), [], {"content.credential_verification", "content.mfa_request", "content.urgency"}, set()),
+    "odd_file": (dict(sender_email="a@shop.com", attachments=[{"filename": "setup.appref-ms"}]), [], {"attachment.executable"}, set()),
     "empty": (dict(), [], set(), {"identity.unparseable_sender", "authentication.failure"}),
 }
 
