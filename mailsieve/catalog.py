@@ -13,7 +13,7 @@ from .functions import html, text, url
 from .operators import report, rules, scoring, semantic, triage, trust
 from .operators.brands import brands, claims, near_targets
 from .plans.context import delivered_once, distinct_links, link_context, message_context, scan, sender_context
-from .refdata import FREEMAIL, OPEN_HOSTING
+from .refdata import FREEMAIL, OPEN_HOSTING, PRIVATE_TLDS
 from .sources import mail
 from .streaming import events
 from .suffixes import delegated
@@ -240,11 +240,11 @@ def registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_context(spark, sf_dir).groupBy("host_registrable").agg(F.count("*").alias("links"), F.count_distinct("host").alias("hosts"), F.count_distinct("msg_id").alias("messages"))
 
 
-@query(_ctx + f", suf AS (SELECT * FROM (VALUES {_values([*OPEN_HOSTING, 'fenliva.example'])}) AS t(suffix)) SELECT DISTINCT host, suffix FROM lnk JOIN suf ON host = suffix OR host LIKE '%.' || suffix")
+@query(_ctx + f", suf AS (SELECT * FROM (VALUES {_values([*OPEN_HOSTING, *PRIVATE_TLDS])}) AS t(suffix)) SELECT DISTINCT host, suffix FROM lnk JOIN suf ON host = suffix OR host LIKE '%.' || suffix")
 def suffix_match_open_hosting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts below listed suffixes: every suffix of a host is a key of an equi-join."""
+    """Hosts below listed suffixes, of open hosting or reserved: every suffix of a host is a key of an equi-join."""
     hosts = link_context(spark, sf_dir).select("host").distinct()
-    return hosts.select("host", F.explode(url.suffixes(F.col("host"))).alias("suffix")).join(_dimension(spark, "suffix", [*OPEN_HOSTING, "fenliva.example"]), "suffix").select("host", "suffix")
+    return hosts.select("host", F.explode(url.suffixes(F.col("host"))).alias("suffix")).join(_dimension(spark, "suffix", [*OPEN_HOSTING, *PRIVATE_TLDS]), "suffix").select("host", "suffix")
 
 
 @query(f"SELECT msg_id, count(*) AS links, count(DISTINCT href) AS targets, count_if(text IS NULL)::BIGINT AS silent, count_if(normalized_domain IS DISTINCT FROM regexp_replace(lower(regexp_extract(href, '{HOST}', 1)), '^www\\.|\\.+$', '', 'g'))::BIGINT AS disagree FROM (SELECT DISTINCT * FROM message_links) WHERE msg_id IS NOT NULL GROUP BY msg_id")
