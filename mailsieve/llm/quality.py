@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, some_rows, spread
+from .common import WORD, cut, spread
 
 #: The statistics, in order, and the least spread that each is given: what less than that differs means nothing.
 STATISTICS = {
@@ -36,8 +36,8 @@ COMMON = 100
 KEEP, STEPS = 0.7, 3
 #: Documents whose weight the pooled moments have in a language's own.
 PRIOR = 100
-#: Labelled documents read for the threshold, at most.
-LABELLED = 5_000
+#: Distances among which the threshold is validated; the one that holds without labels.
+CANDIDATES = np.exp(np.linspace(np.log(15), np.log(400), 60))
 THRESHOLD = 60.0
 
 _word = re.compile(r"[^\W_]+(?:[’'][^\W_]+)*")
@@ -267,9 +267,10 @@ def text_quality(df: DataFrame, key: str, text: str, language: str, labels: Data
     """Per document: key, lang, every statistic, distance (squared Mahalanobis), contributions (a map by statistic) and
     kind: prose, list, table or junk.
 
-    labels: (key, kind), a bounded sample that only validates the threshold; without it THRESHOLD holds. A null or
-    blank text has null statistics, distance 0 and kind prose (there is nothing wrong in it). A null or unknown
-    language is measured against the pooled prose of all. Null keys and repeated rows are kept."""
+    labels: (key, kind), which only validate the threshold; every labelled document counts, one that is judged both
+    prose and not on both sides, a repeated label once. Without them THRESHOLD holds. A null or blank text has null
+    statistics, distance 0 and kind prose (there is nothing wrong in it). A null or unknown language is measured against
+    the pooled prose of all. Null keys and repeated rows are kept."""
     common = common_words(df.where(F.col(text).isNotNull()), text, language)
     key_type = df.schema[key].dataType.simpleString()
 
@@ -284,8 +285,8 @@ def text_quality(df: DataFrame, key: str, text: str, language: str, labels: Data
 
     threshold = THRESHOLD
     if labels is not None:
-        sample = some_rows(held.join(labels.select(F.col(key).alias("k"), F.col("kind")).where("kind IS NOT NULL").dropDuplicates(["k"]), "k").select("lang", "x", "kind"), LABELLED)
-        threshold = validated_threshold(moments, sample)
+        sides = labels.select(F.col(key).alias("k"), (F.col("kind") == "prose").alias("prose")).where("prose IS NOT NULL").distinct()
+        threshold = validated_threshold(moments, held.join(sides, "k").select("lang", "x", "prose"))
 
     names = list(STATISTICS)
 
@@ -310,16 +311,26 @@ def text_quality(df: DataFrame, key: str, text: str, language: str, labels: Data
     return stats.mapInPandas(judged, f"k {key_type}, lang string, {kinds}, distance double, contributions map<string, double>, kind string").withColumnRenamed("k", key)
 
 
-def validated_threshold(moments: Moments, sample: list) -> float:
+def validated_threshold(moments: Moments, labelled: DataFrame) -> float:
     """The distance that tells labelled prose from the rest with the fewest errors, each kind weighing the same, in the
-    middle of the best range; THRESHOLD if the sample lacks either."""
-    if not sample:
-        return THRESHOLD
-    d = moments.contributions([r.lang for r in sample], np.array([r.x for r in sample], np.float64)).sum(1)
-    prose = np.array([r.kind == "prose" for r in sample])
-    if prose.all() or not prose.any():
+    middle of the best range; THRESHOLD if the rows (lang, x, prose) lack either. They are counted by side and by the
+    candidates that they lie between, where the data are."""
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for b in batches:
+            d = moments.contributions(list(b["lang"]), _matrix(b)).sum(1)
+            counts.update(zip(b["prose"].tolist(), np.searchsorted(CANDIDATES, d).tolist()))
+        if counts:
+            yield pd.DataFrame([(*at, n) for at, n in counts.items()], columns=["prose", "i", "n"])
+
+    found = {side: np.zeros(len(CANDIDATES) + 1) for side in (True, False)}
+    for r in labelled.mapInPandas(placed, "prose boolean, i int, n long").groupBy("prose", "i").agg(F.sum("n").alias("n")).collect():
+        found[r.prose][r.i] = r.n
+    prose, rest = found[True], found[False]
+    if not prose.sum() or not rest.sum():
         return THRESHOLD
-    candidates = np.exp(np.linspace(np.log(15), np.log(400), 60))
-    wrong = np.array([(d[prose] > t).mean() + (d[~prose] <= t).mean() for t in candidates])
+    beyond, within = prose.sum() - np.cumsum(prose)[:-1], np.cumsum(rest)[:-1]
+    wrong = beyond / prose.sum() + within / rest.sum()
     best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-    return float(candidates[best[len(best) // 2]])
+    return float(CANDIDATES[best[len(best) // 2]])

@@ -394,6 +394,27 @@ def test_kinds(spark):
     assert quality.text_quality(table(spark, [], "id long, text string, lang string"), "id", "text", "lang").count() == 0
 
 
+def test_every_labelled_document_validates_the_threshold(spark):
+    import numpy as np
+
+    rng = random.Random(0)
+    sentences = re.split(r"(?<=\.) ", PROSE)
+    rows = [(k, " ".join(rng.sample(sentences, 2)) + " #" * (4 * rng.randrange(40) if k % 4 == 0 else 0), "en") for k in range(6_000)]
+    rng = random.Random(0)
+    judged = [(k, "junk" if rng.random() < t.count("#") / 640 else "prose") for k, t, _ in rows]  # errors on both sides of every distance
+    judged += [judged[7], (8, "junk"), (8, "prose"), (9, "junk"), (9, "table"), (10, None), (None, "junk"), (7_000, "junk")]  # repeated, both ways, of nothing
+    got = quality.text_quality(table(spark, rows, "id long, text string, lang string"), "id", "text", "lang", table(spark, judged, "id long, kind string")).collect()
+    distance = {r.id: r.distance for r in got}
+    sides = {(k, kind == "prose") for k, kind in judged if kind and k in distance}
+    prose, rest = (np.array([distance[k] for k, p in sides if p is side]) for side in (True, False))
+    candidates = np.exp(np.linspace(np.log(15), np.log(400), 60))
+    wrong = np.array([(prose > t).mean() + (rest <= t).mean() for t in candidates])
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    threshold = candidates[best[len(best) // 2]]
+    assert len(prose) + len(rest) > 6_000
+    assert all((r.kind == "prose") == (r.distance <= threshold) for r in got)
+
+
 def test_samples_don_t_depend_on_partitions(spark):
     df = spark.range(5_000).select(F.col("id"), (F.col("id") * 7).alias("x"))
     a, b = some_rows(df, 50), some_rows(df.repartition(13), 50)
