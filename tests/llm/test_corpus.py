@@ -1,6 +1,8 @@
 """The corpus operators: against brute force where there is one, on held-out cases else, and in every odd case."""
 
+import cProfile
 import itertools
+import pstats
 import random
 import re
 
@@ -220,6 +222,39 @@ def test_tagger_on_other_wording():
     assert right / given >= 0.9 and right / got >= 0.9, [(w - f, f - w) for w, f in zip(wanted, found) if w != f]
 
 
+def _joined(seeds: range) -> list[str]:
+    return ["".join(t for t, _ in personal_table.mail(seed)) for seed in seeds]
+
+
+def test_tagger_tags_batches_at_few_calls_a_text():
+    """Counted calls stand for time, which no test can rely on: work is done by the row of texts, not by the text."""
+    tagger, texts = personal.trained(), _joined(range(71_000, 71_256))
+    apart = [tagger.decode([t])[0] for t in texts]
+    profile = cProfile.Profile()
+    assert profile.runcall(tagger.decode, texts) == apart
+    assert pstats.Stats(profile).total_calls < 250 * len(texts)
+
+
+def test_tagger_tries_forms_and_lines_wherever_they_can_begin():
+    parts = "a@b.ex A@B.EX AB12@x.ex +44 (0 020 7946 0018 (503) 555-0142 503.555.0142 AB 12 34 56 C OX1 2AB 1234 12345 123456-1234 12:30 1.5.24 1,250.00 12AB3 É1 ² ٣٤٥٦٧ Thanks, Anna Mr Hi _ / # - -- > \n \n> \n\n \t \xa0 \r".split(" ")
+    deal = random.Random(7)
+    odd = [deal.choice(["", " "]).join(deal.choice(parts) for _ in range(deal.randint(1, 50))) for _ in range(600)]
+    texts = [" \t", "\n", " Thanks,\nBest regards\n\n>  Anna\n", *odd, *(x.replace("|", "\n") for x in MARKED.split("\n") if x), *_joined(range(71_256, 71_300))]
+    lexicon, cut = personal.Lexicon(), [personal.pieces_of(t) for t in texts]
+    row = personal.Row(lexicon, texts, [lead for lead, _ in cut], [lexicon.ids([*xs, *personal.GAP])[0] for _, xs in cut])
+    marked, tried = personal.marks(row), [set(x.tolist()) for x in personal._may_begin(row)]
+    for k, text in enumerate(texts):
+        places = range(row.first[k], row.first[k] + row.sizes[k])
+        spans = personal.tokenize(text)
+        assert spans == [(row.begins[p] - row.origin[k], row.ends[p] - row.origin[k]) for p in places]
+        for p, (a, b) in zip(places, spans):
+            plain = "@" not in text[a:b]
+            assert all(p in at for form, at in zip(personal.FORMS, tried) if plain and form.match(text, a))
+        for column, pattern in ((4, personal._after_closing), (5, personal._salutes)):
+            found = [m.span(1) for m in pattern.finditer(text)]
+            assert [marked[p, column] for p in places] == [any(x <= a < y for x, y in found) for a, _ in spans]
+
+
 def test_redaction(spark):
     rows = [(1, "Re", "Hi Anna,\n\nAnna Berger (anna.berger@firm.example) will collect it.\nIf in doubt ring Anna on 01632 960345.", "x"), (2, None, "", "x"), (3, None, None, "x"), (1, "Re", "Nothing to see in Lowbridge, order AB-12345.", "x")]
     df = table(spark, rows, "id long, subject string, body string, found string")
